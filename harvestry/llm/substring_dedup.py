@@ -82,6 +82,12 @@ def _later(order: np.ndarray, key: np.ndarray, docs: np.ndarray, starts: np.ndar
     return order[head], order[(docs[order] != docs[lead]) | (starts[order] != starts[lead])]
 
 
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(0, int)
+    return zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+
+
 def _group(docs: np.ndarray, groups: int) -> np.ndarray:
     return (C.mix(docs.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
@@ -91,8 +97,7 @@ def _back(docs: np.ndarray, starts: np.ndarray, check: np.ndarray, groups: int)
     to = _group(docs, groups)
     order = np.lexsort((starts, docs, to))
     to, docs, starts, check = (x[order] for x in (to, docs, starts, check))
-    at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else []
-    for lo, hi in zip(at, [*at[1:], len(to)], strict=True):
+    for lo, hi in _runs(to):
         yield int(to[lo]), 1, _places(docs[lo:hi], starts[lo:hi], check[lo:hi].astype(np.int64))
 
 
@@ -112,8 +117,7 @@ def _send(window: int, buckets: int, groups: int):
         to = (second[lead] >> np.uint64(32)) % np.uint64(buckets)
         by = np.lexsort((starts[lead], docs[lead], to))
         lead, to = lead[by], to[by]
-        at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else []
-        for lo, hi in zip(at, [*at[1:], len(to)], strict=True):
+        for lo, hi in _runs(to):
             x = lead[lo:hi]
             check = (second[x] & np.uint64(0xFFFF)).astype("<u2")
             rows.append((int(to[lo]), 0, key[x].astype("<u8").tobytes() + check.tobytes(), _places(docs[x], starts[x])))
