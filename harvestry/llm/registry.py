@@ -1,11 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
-from harvestry.llm import substring_dedup
+from harvestry.llm import fingerprint, mixing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_fingerprints": fingerprint.op5_fingerprints,
 }
 
 SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op4_mix_sources": mixing.OP4_SQL,
 }
