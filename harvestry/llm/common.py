@@ -37,7 +37,9 @@ def written(df: DataFrame, at: str | None = None) -> DataFrame:
     path = at or shared_dir(spark)
     df.write.parquet(path)
     atexit.register(forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def forget(spark: SparkSession, path: str) -> None:
