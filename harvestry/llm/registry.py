@@ -1,11 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
-from harvestry.llm import fingerprint, mixing, substring_dedup
+from harvestry.llm import fingerprint, language_id, mixing, packing, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_fingerprints": fingerprint.op5_fingerprints,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_packing": packing.op8_packing,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {
