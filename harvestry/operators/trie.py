@@ -217,3 +217,45 @@ def is_sorted(ordered_tx: DataFrame, rank: DataFrame) -> bool:
     """Whether every transaction follows the ranks."""
     again = ordered(ordered_tx, rank).select("tid", F.col("items").alias("want"))
     return not ordered_tx.join(again, "tid").where(F.col("items") != F.col("want")).head(1)
+
+
+def edit_distance_of(a: list, b: list) -> int:
+    """Levenshtein's, of sequences of any items."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def instability_exact(paths: DataFrame, left: dict[str, int], right: dict[str, int], conn: set[tuple[str, str]], freq: dict[str, int], gone: list[str]) -> float:
+    """As instability(), between two orders (items to ranks), with what the left tree tells about steps.
+
+    Items that have gone on the right join every left path; a left step that the connections conn don't allow, directly
+    or through items as frequent as its end, is taken out. Tables of items only; the paths stay where they are.
+    """
+    last = 1 << 31
+
+    def of(batches):
+        import pandas as pd
+
+        n, total = 0, 0.0
+        known: dict[tuple[str, str], bool] = {}
+        for b in batches:
+            for path in b["path"]:
+                path = list(path)
+                lhs = sorted([*path, *(x for x in gone if x not in path)], key=lambda x: (left.get(x, last), x))
+                kept = lhs[:1]
+                for x in lhs[1:]:
+                    step = (kept[-1], x)
+                    if step not in known:
+                        known[step] = connected(conn, freq, *step)
+                    if known[step]:
+                        kept.append(x)
+                rhs = sorted(path, key=lambda x: (right.get(x, last), x))
+                n, total = n + 1, total + edit_distance_of(kept, rhs) / len(path)
+        yield pd.DataFrame({"n": [n], "total": [total]})
+
+    r = paths.select("path").mapInPandas(of, "n long, total double").agg(F.sum("n").alias("n"), F.sum("total").alias("t")).first()
+    return r["t"] / r["n"] if r["n"] else 0.0

@@ -63,3 +63,13 @@ def test_reachable(spark):
     f = {"a": 3, "b": 2, "c": 2, "d": 1}
     pairs = {("a", "b"), ("b", "c"), ("c", "d")}
     assert got == {(x, y) for x in "abcd" for y in "abcd" if x != y and trie.connected(pairs, f, x, y)}
+
+
+def test_exact_instability(spark):
+    paths = spark.createDataFrame([(["a", "b", "c"],)], "path array<string>")
+    up, down = {"a": 1, "b": 2, "c": 3}, {"a": 3, "b": 2, "c": 1}
+    conn, freq = {("a", "b"), ("b", "c")}, {"a": 3, "b": 2, "c": 1}
+    assert trie.instability_exact(paths, up, up, conn, freq, []) == 0.0
+    assert trie.instability_exact(paths, up, down, conn, freq, []) == pytest.approx(2 / 3)
+    assert trie.instability_exact(paths, up, up, {("a", "b")}, freq, []) == pytest.approx(1 / 3)
+    assert trie.edit_distance_of(list("kitten"), list("sitting")) == 3
