@@ -26,6 +26,8 @@ from harvestry.llm import common as C
 
 K, W = 5, 16
 PIECE = 16
+#: Ranges of ids at most, for their bounds are part of the plan; larger ranges spill.
+BUCKETS = 16_384
 _AT = (1 << 27) - 1
 
 
@@ -88,7 +90,7 @@ def next_text(docs: DataFrame, add: Callable[[DataFrame], DataFrame], lead: dict
     at the end of the range before it. add() runs after the shuffle, so that what it makes is not shuffled.
     """
     n = C.parts(docs)
-    many = 4 * n
+    many = min(4 * n, BUCKETS)
     docs = docs.withColumn("__key", F.col(f"`{id_col}`").cast("long"))
     docs = docs.withColumn("__bucket", _buckets(docs, "__key", many))
     # one row for each range, many at most

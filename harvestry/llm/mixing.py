@@ -52,12 +52,12 @@ def uniform(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def _border(rows: DataFrame, sums: DataFrame, goal: DataFrame, keys: list[str], step: str) -> tuple[DataFrame, DataFrame]:
-    """rows taken whole and those at the border: sums has words by keys and step, goal what is left to take."""
-    run = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+def _border(sums: DataFrame, goal: DataFrame, step: str) -> DataFrame:
+    """The step (of sums: source, step, words) at which each source's goal (at_source, goal) is reached, and what it is to add."""
+    run = Window.partitionBy("source").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     at = sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    at = at.join(goal, [F.col(f"at_{k}").eqNullSafe(sums[k]) for k in keys]).where((F.col("before") <= F.col("goal")) & (F.col("before") + F.col("words") > F.col("goal")))
-    return at.select(*(f"at_{k}" for k in keys), F.col(step).alias("border"), (F.col("goal") - F.col("before")).alias("rest"))
+    at = at.join(goal, F.col("at_source").eqNullSafe(F.col("source"))).where((F.col("before") <= F.col("goal")) & (F.col("before") + F.col("words") > F.col("goal")))
+    return at.select("at_source", F.col(step).alias("border"), (F.col("goal") - F.col("before")).alias("rest"))
 
 
 def mix_sources(
@@ -97,11 +97,11 @@ def mix_sources(
     parts = C.written(parts)
     goal = parts.groupBy("source").agg(F.sum("sure_words").alias("sure_words")).join(goals.select(F.col("source").alias("of"), "target"), F.col("source").eqNullSafe(F.col("of")))
     goal = goal.select(F.col("source").alias("at_source"), (F.col("target") - F.col("sure_words")).alias("goal"))
-    first = C.written(_border(ranked, parts.where("step IS NOT NULL").drop("sure_words"), goal, ["source"], "step"))
+    first = C.written(_border(parts.where("step IS NOT NULL").drop("sure_words"), goal, "step"))
     inner = ranked.join(first, F.col("source").eqNullSafe(F.col("at_source")) & (F.col("step") == F.col("border"))).select("source", "fine", "rank", "id", "u", "size")
     inner = C.written(inner)
     sums = inner.groupBy("source", "fine").agg(F.sum("size").alias("words"))
-    second = C.written(_border(inner, sums, first.select("at_source", F.col("rest").alias("goal")), ["source"], "fine"))
+    second = C.written(_border(sums, first.select("at_source", F.col("rest").alias("goal")), "fine"))
     # what is left is a millionth of a source
     last = inner.join(second, F.col("source").eqNullSafe(F.col("at_source")) & (F.col("fine") == F.col("border")))
     run = Window.partitionBy("source").orderBy("rank", F.col("id").cast("string"), "size").rowsBetween(Window.unboundedPreceding, -1)

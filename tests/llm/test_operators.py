@@ -175,6 +175,22 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.next_text(one, lambda x: x, {"text": "after"}).first()["after"] == "only"
 
 
+def test_edits(spark, sf):
+    t = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(t, reverse=True)
+    got = {r["doc_id"]: r for r in fingerprint.op5_fingerprints(spark, sf).collect()}
+    assert set(got) == set(t)
+    for a, b in zip(ids, [*ids[1:], ids[0]], strict=True):
+        n = len(t[a])
+        edited = t[a][: n - n // 2] + t[b][: n // 2]
+        assert (got[a]["n_chars"], got[a]["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
+    marks = lambda f: {x.split(":")[0] for x in f.split()}
+    for a, b in zip(ids, [*ids[1:], ids[0]], strict=True):
+        for x, y, like in ((got[a]["fingerprint"], got[a]["edited_fingerprint"], got[a]["near_edited"]), (got[a]["fingerprint"], got[b]["fingerprint"], got[a]["near_next"])):
+            x, y = marks(x), marks(y)
+            assert like == (len(x & y) / len(x | y) if x | y else 1.0)
+
+
 def test_winnowing_rule(spark):
     r = np.random.default_rng(0)
     text = " ".join(f"w{i}" for i in r.integers(0, 6, 400))
