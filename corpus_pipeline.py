@@ -36,8 +36,8 @@ def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(docs, shingle=5, bits=1024, similarity=0.8)
     # a group's first document is the only one whose id is the group's
-    first = C.written(groups.where(F.col("id") == F.col("group")).select("id").distinct())
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    first = C.written(groups.where(F.col("id") == F.col("group")).select(F.col("id").alias("__first")).distinct())
+    named = docs.where(F.col("doc_id").isNotNull()).join(first, F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
@@ -49,9 +49,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mix_sources(docs).where("copies > 0").select(F.col("id").alias("__id"), "copies").dropDuplicates(["__id"])
+    copies = mixing.mix_sources(docs).where("copies > 0").groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("__copies"))
     mixed = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
