@@ -28,9 +28,22 @@ from harvestry.llm import language_id, mixing, packing, simhash, substring_dedup
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """Columns besides those of documents in one, so that operators' own columns can't meet their names."""
+    more = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in COLUMNS]
+    return docs.select(*COLUMNS, F.struct(*more, F.lit(0).alias("_")).alias("__more")) if more else docs
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*(F.col(c) if c in COLUMNS else F.col(f"__more.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = language_id.learn(docs, F.col("doc_id"))
-    return language_id.identify(docs, learned).where(language_id.accepted()).select(*docs.columns)
+    return _back(language_id.identify(_aside(docs), learned).where(language_id.accepted()), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +55,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.substring_dedup(docs, whole_words=False)
+    cut = substring_dedup.substring_dedup(_aside(docs), whole_words=False)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text"))
     cut = cut.withColumn("text", F.coalesce(text, "kept_text")).withColumn("n_chars", F.char_length("text").cast("long"))
-    return cut.select(*docs.columns)
+    return _back(cut, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,10 +99,11 @@ def fingerprint(hashes: np.ndarray, bits: int, step: int = 1 << 14) -> np.ndarra
     return above if half < 1 << len(weights) else np.zeros(words, np.uint64)
 
 
-def _fingerprints(shingle: int, bits: int):
+def _fingerprints(shingle: int, bits: int, repeats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [fingerprint(shingle_hashes(b"" if (t := x.as_buffer()) is None else t.to_pybytes(), shingle), bits).astype(">u8").tobytes() for x in b.column(1)]
+            hashes = (shingle_hashes(b"" if (t := x.as_buffer()) is None else t.to_pybytes(), shingle) for x in b.column(1))
+            out = [fingerprint(h if repeats else np.unique(h), bits).astype(">u8").tobytes() for h in hashes]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "fp"])
 
     return run
@@ -332,11 +333,12 @@ def components(edges: DataFrame, least: str = "a", other: str = "b") -> DataFram
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 5, bits: int = 1024, radius: int | None = None, similarity: float = 0.8, miss: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = 5, bits: int = 1024, radius: int | None = None, similarity: float = 0.8, miss: float = 0.01, repeats: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, group) for every row of docs; group is the smallest id of those linked to it, itself included.
 
     radius: differing bits of linked fingerprints; if None, the expectation of texts of that Jaccard similarity of
-    their shingles, which have cosine 2s / (1 + s), and half a standard deviation more.
+    their shingles, which have cosine 2s / (1 + s), and half a standard deviation more. repeats: shingles count as often as
+    they occur; without, a text is the set of its shingles.
     """
     if radius is None:
         p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -344,7 +346,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, bits: int = 1024, radius:
     if radius <= 0 or bits % 64:
         raise ValueError("bits must be a multiple of 64 and the radius positive")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = C.written(docs.mapInArrow(_fingerprints(shingle, bits), "id long, fp binary"))
+    marked = C.written(docs.mapInArrow(_fingerprints(shingle, bits, repeats), "id long, fp binary"))
     firsts = C.written(marked.groupBy("fp").agg(F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("first")))
     edges = C.written(links(firsts.select("fp"), bits, radius, firsts.count(), miss))
     roots = components(edges)
@@ -359,5 +361,5 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, bits: int = 1024, radius:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_groups(C.table(spark, sf_dir, "documents"), shingle=4, bits=64, radius=4)
+    found = simhash_groups(C.table(spark, sf_dir, "documents"), shingle=4, bits=64, radius=4, repeats=True)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("group").alias("component_id"))
