@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
+@functools.cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="harvestry-")
+
+
 def shared_path(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="harvestry-")
+    """A new path below spark.checkpoint.dir; in a temporary folder where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own()
     return f"{root.rstrip('/')}/harvestry-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df from a Parquet table of its own."""
+    """df from a Parquet table of its own, which goes when the program ends."""
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
+    atexit.register(forget, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone
+        return

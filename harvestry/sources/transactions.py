@@ -78,6 +78,11 @@ def from_consecutive(rows: DataFrame, order: str, key: str, item: str) -> DataFr
     return rows.withColumn("__run", run).groupBy(key, "__run").agg(F.min(order).alias("tid"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).cast("string").alias("i")))), lambda x: x["i"]).alias("items")).select("tid", "items")
 
 
+def first_rows(rows: DataFrame, order: str, thousands: int) -> DataFrame:
+    """The first thousands of rows, in the order of a column: a split of a long table for trials."""
+    return rows.orderBy(order).limit(thousands * 1000)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,6 +28,7 @@ def test_missing_input(spark, tmp_path):
 def test_pivot_and_runs(spark):
     rows = spark.createDataFrame([(0, "k", "b"), (1, "k", "a"), (2, "j", "c"), (3, "k", "d")], "o long, key string, item string")
     assert {tuple(r["items"]) for r in T.from_long(rows, "key", "item").collect()} == {("a", "b", "d"), ("c",)}
+    assert T.first_rows(rows, "o", 1).count() == 4 and T.first_rows(rows, "o", 0).count() == 0
     assert [r["items"] for r in T.from_consecutive(rows, "o", "key", "item").orderBy("tid").collect()] == [["b", "a"], ["c"], ["d"]]
 
 
