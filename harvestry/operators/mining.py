@@ -81,21 +81,22 @@ def apriori(tx: DataFrame, keep: Filter, max_size: int | None = None) -> DataFra
     """
     n = tx.count()
     tag = lambda df: df.withColumn("n", F.lit(n))
-    rows = written(counting.exploded(tx).distinct())
-    one = written(keep(tag(rows.groupBy(F.array("item").alias("items")).agg(F.count("*").alias("count")))).select("items", "count"))
+    distinct = counting.exploded(tx.withColumn("items", F.array_distinct("items")))
+    # levels are small against the transactions: kept in memory, made again if an executor is lost
+    one = keep(tag(distinct.groupBy(F.array("item").alias("items")).agg(F.count("*").alias("count")))).select("items", "count").persist()
     levels, level, size = [one], one, 2
-    rows = written(rows.join(one.select(F.element_at("items", 1).alias("item")), "item", "left_semi").select("tid", "item"))
     if max_size == 1:
         return one
+    rows = written(distinct.join(one.select(F.element_at("items", 1).alias("item")), "item", "left_semi").select("tid", "item"))
     small = rows.groupBy("tid").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    level = written(keep(tag(counting.pair_counts(small).select(F.array("a", "b").alias("items"), "count"))).select("items", "count"))
+    level = keep(tag(counting.pair_counts(small).select(F.array("a", "b").alias("items"), "count"))).select("items", "count").persist()
     held = None
     while level.head(1) and (max_size is None or size <= max_size):
         levels.append(level)
         size += 1
         if max_size is not None and size > max_size:
             break
-        cand = written(candidates(level.select("items"), size))
+        cand = candidates(level.select("items"), size).persist()
         if not cand.head(1):
             break
         if held is None:
@@ -103,7 +104,7 @@ def apriori(tx: DataFrame, keep: Filter, max_size: int | None = None) -> DataFra
             held = pairs.join(level.select("items"), "items", "left_semi")
         grown = held.join(cand.select(F.slice("items", 1, size - 1).alias("items"), F.element_at("items", -1).alias("item")), "items").join(rows, ["tid", "item"], "left_semi")
         held = written(grown.select("tid", F.concat("items", F.array("item")).alias("items")))
-        level = written(keep(tag(held.groupBy("items").agg(F.count("*").alias("count")))).select("items", "count"))
+        level = keep(tag(held.groupBy("items").agg(F.count("*").alias("count")))).select("items", "count").persist()
         held = held.join(level.select("items"), "items", "left_semi")
     out = levels[0]
     for x in levels[1:]:
