@@ -20,7 +20,10 @@ are documents of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +73,7 @@ class Ids:
         self.words = Words()
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.enc.encode_ordinary(text), "<u2").tobytes()
+        return array("H", self.enc.encode_ordinary(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -88,11 +91,19 @@ class Ids:
         return get(first) + b"".join([get(" " + w) for w in rest]) + b"\0\0"
 
 
+@functools.cache
+def ids_of(path: str) -> Ids:
+    """One for each Python worker, so that its tasks share what it remembers."""
+    if sys.byteorder != "little":
+        raise RuntimeError("ids are kept as little-endian numbers")
+    return Ids(path)
+
+
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, part, had = Ids(path), TaskContext.get().partitionId(), {}
+        ids, part, had = ids_of(path), TaskContext.get().partitionId(), {}
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 b = big.slice(at, 1000)
