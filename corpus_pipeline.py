@@ -5,9 +5,9 @@ DataFrame that is written as Parquet and read again as the docs of the next.
 
 1. language_id: documents whose language is clear stay; those without a letter, and those whose margin between the two
    best languages is narrow, go. Dictionaries are learned from the labelled rows among docs.
-2. simhash_near_dedup: of documents linked by 1,024-bit SimHash fingerprints of five-word shingles at an estimated
-   similarity of 0.8 or more, the one with the smallest doc_id stays (of rows that share that id, one). Rows without a
-   doc_id, which no group can name, stay.
+2. simhash_near_dedup: of documents linked by a Jaccard similarity of 0.8 or more of their sets of five-word shingles,
+   the one with the smallest doc_id stays (of rows that share that id, one), and of those without a doc_id one.
+   1,024-bit SimHash fingerprints find the candidates, an exact comparison decides.
 3. substring_dedup: passages of 20 words and more that an earlier document, or an earlier place of the document, has are
    cut out of the text; n_chars follows. Documents stay, also if nothing is left of them.
 4. mix_sources: documents are dropped or repeated so that sources take their target weights.
@@ -47,11 +47,9 @@ def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(docs, shingle=5, bits=1024, similarity=0.8)
-    # a group's first document is the only one whose id is the group's
-    first = C.written(groups.where(F.col("id") == F.col("group")).select(F.col("id").alias("__first")).distinct())
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = C.written(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, a row keeps its number
+    kept = C.written(simhash.near_duplicates(rows, "__row").select(F.col("key").alias("__kept")))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ links, and a bucket over `most` fingerprints is dealt out to pairs of parts, eac
 copies or near copies grows one task or a quadratic result. Components are found by alternating large-star and
 small-star steps over the forests' edges, each step a table in the shared folder.
 
+near_duplicates() takes such links as candidates only: their radius is wide, so that hardly a pair at the threshold is
+lost, and within the candidates' components every pair's sets of shingles are compared exactly.
+
 Defined cases: a null text has no words; a text without words has fingerprint zero and is linked like any other; a text
 of fewer words than a shingle has one shingle of all; a null id is kept and counts as the largest.
 """
@@ -360,6 +363,128 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, bits: int = 1024, radius:
     return done.select("id", "fp", F.when((F.col("group") == (1 << 63) - 1) & F.col("id").isNull(), F.lit(None)).otherwise(F.col("group")).alias("group"))
 
 
+#: Texts of up to so many shingles are also searched by a radius of their own: of four shingles against five, a bit
+#: differs with probability 0.1875, of all others at Jaccard 0.8 and over with at most 0.162, of over 24 with 0.157.
+SHORT, SHORT_SHARE = 30, 0.1875
+#: Sets of shingles, and shingles, that one part of a component has at most, about.
+SETS, SHINGLES = 4_096, 1_000_000
+
+
+def _marks(shingle: int, bits: int):
+    """For each row its key and id, the digest and size of its set of shingles, and the set's fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digest, n, fp = [], [], []
+            for x in b.column(2):
+                h = np.unique(shingle_hashes(b"" if (t := x.as_buffer()) is None else t.to_pybytes(), shingle))
+                digest.append(xxhash.xxh128_digest(h.astype("<u8").tobytes()))
+                n.append(len(h))
+                fp.append(fingerprint(h, bits).astype(">u8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(fp, pa.binary())], ["key", "id", "node", "n", "fp"])
+
+    return run
+
+
+def alike(sets: list[np.ndarray], sides: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that span the pairs of sets with at least that Jaccard similarity; of sides 0 and 1, only pairs across count.
+
+    A search in breadth: a set is compared with all that were not reached yet, by counting through an index of their
+    members, which is made anew once half of its sets are reached. Reached sets need no comparison: they are linked.
+    """
+    m, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    of = np.repeat(np.arange(m), size)
+    _, member = np.unique(np.concatenate(sets) if m else np.zeros(0, np.uint64), return_inverse=True)
+    ends = np.cumsum(size)
+    order = np.argsort(member, kind="stable")
+    index, by = of[order], member[order]  # sets by member
+    fresh, indexed, out = np.ones(m, bool), m, []
+    left = m
+    for first in range(m):
+        if not fresh[first]:
+            continue
+        fresh[first], left, queue = False, left - 1, [first]
+        while queue and left:
+            if left < indexed // 2:
+                stay = fresh[index]
+                index, by, indexed = index[stay], by[stay], left
+            x = queue.pop()
+            mine = member[ends[x] - size[x] : ends[x]]
+            lo, hi = np.searchsorted(by, mine), np.searchsorted(by, mine, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            y, common = np.unique(index[at], return_counts=True)
+            # in doubles: n / m is not under s just if the pair's similarity is not
+            y = y[(common / np.maximum(1, size[x] + size[y] - common) >= similarity) & fresh[y] & ((sides[x] == 2) | (sides[y] != sides[x]))]
+            fresh[y] = False
+            left -= len(y)
+            queue.extend(y.tolist())
+            out += [(x, z) for z in y.tolist()]
+    return out
+
+
+def _verify(shingle: int, similarity: float):
+    """Sorted rows (comp, pair of parts, side, node, text); a group of a component and a pair is whole in its partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sides, sets = None, [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1 and (found := alike(sets, np.array(sides), similarity)):
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in x], pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
+
+        for b in batches:
+            for comp, pair, side, node, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
+                if (comp, pair) != now:
+                    yield from done()
+                    now, nodes, sides, sets = (comp, pair), [], [], []
+                nodes.append(node)
+                sides.append(side)
+                sets.append(np.unique(shingle_hashes(b"" if (t := text.as_buffer()) is None else t.to_pybytes(), shingle)))
+        yield from done()
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 1024, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
+    """(key): of rows that are linked by an exact Jaccard similarity of their sets of shingles, the first by id and key, and
+    the first without an id, which goes only for another without.
+
+    key_col has a long for each row, the same at each reading. Candidates are texts whose fingerprints are within the
+    expectation for the similarity and 3.5 standard deviations; short texts have a wider radius. Shingles are equal if
+    their 64-bit hashes are.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    wide = lambda p: round(bits * p + 3.5 * math.sqrt(bits * p * (1 - p)))
+    rows = docs.select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    marked = C.written(rows.mapInArrow(_marks(shingle, bits), "key long, id long, node binary, n long, fp binary"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    firsts = C.written(marked.groupBy("node").agg(F.min(place).alias("place"), F.min(F.when(F.col("id").isNull(), place)).alias("unnamed"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    fps = C.written(firsts.groupBy("fp").agg(F.min("n").alias("n")))
+    edges = links(fps.select("fp"), bits, wide(p), fps.count(), miss)
+    short = C.written(fps.where(F.col("n") <= SHORT).select("fp"))
+    if (few := short.count()) > 1:
+        edges = C.written(edges).unionByName(links(short, bits, wide(max(p, SHORT_SHARE)), few, miss))
+    roots = components(edges)
+    # the members of each component of candidates, with their texts; large components in pairs of parts
+    held = C.written(firsts.join(roots.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("node", "n", F.col("place.key").alias("k"), F.coalesce("root", "fp").alias("comp")))
+    several = held.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).where("sets > 1")
+    several = several.select(F.col("comp").alias("c"), F.ceil(F.greatest(F.col("sets") / SETS, F.col("all") / SHINGLES, F.lit(1))).cast("int").alias("parts"))
+    held = C.written(held.join(several, F.col("comp") == F.col("c")).select("k", "node", "comp", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.struct((F.least("part", o) * F.col("parts") + F.greatest("part", o)).alias("pair"), F.when(F.col("part") == o, 2).when(F.col("part") < o, 0).otherwise(1).alias("side")),
+    )
+    dealt = rows.select("key", "text").join(held, F.col("key") == F.col("k")).withColumn("to", F.explode(pairs))
+    dealt = dealt.select("comp", F.col("to.pair").cast("long").alias("pair"), F.col("to.side").cast("int").alias("side"), "node", "text")
+    n = C.parts(docs)
+    true = dealt.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInArrow(_verify(shingle, similarity), "a binary, b binary")
+    roots = C.written(components(true).withColumnRenamed("node", "f"))
+    named = C.written(firsts.select("node", "place", "unnamed").join(roots, F.col("node") == F.col("f"), "left").select(F.coalesce("root", "node").alias("root"), "place", "unnamed"))
+    stay = named.groupBy("root").agg(F.min("place").alias("place"), F.min("unnamed").alias("unnamed"))
+    return stay.select(F.explode(F.array_distinct(F.array_compact(F.array("place.key", "unnamed.key")))).alias("key"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(C.table(spark, sf_dir, "documents"), shingle=4, bits=64, radius=4, repeats=True)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("group").alias("component_id"))

@@ -137,3 +137,32 @@ def test_odd_rows(spark):
     none = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, none, "").count() == 0
+
+
+def test_near_dedup_is_exact(spark):
+    """Pairs on both sides of 0.8, short and long: those at it or above are all found, those below all stay."""
+    words = lambda k, n: [f"k{k}x{i}" for i in range(n)]
+    rows, want = [], []
+    for k in range(60):
+        n = 504 if k % 2 else 84
+        near = words(k, n)
+        at = n - 4 - (n - 4) // 9  # so many shingles shared, of n - 4 each: 0.8 if 9 divides
+        far = near[: at + 4 - k % 3] + words(f"{k}y", n - at - 4 + k % 3)
+        m = at - k % 3
+        rows += [(4 * k, " ".join(near)), (4 * k + 1, " ".join(far))]
+        want += [4 * k] if m / (2 * (n - 4) - m) >= 0.8 else [4 * k, 4 * k + 1]
+        a = words(f"{k}s", 8 if k % 2 else 10)
+        rows += [(4 * k + 2, " ".join(a)), (4 * k + 3, " ".join([*a, "end"]))]  # 4 of 5 and 6 of 7
+        want += [4 * k + 2]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in P.near_dedup(spark, docs, "").select("doc_id").collect())
+    assert got == want
+
+
+def test_near_dedup_by_row(spark):
+    """Rows that share an id but not a text both stay or go by their own text; of copies without an id one stays."""
+    one, other, third = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, one), (2, other), (2, one), (None, third), (None, third), (None, third + " end")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"][0]) for r in P.near_dedup(spark, docs, "").collect())
+    assert got == [("1", "a"), ("2", "b"), ("None", "c")]
