@@ -92,13 +92,18 @@ def _group(docs: np.ndarray, groups: int) -> np.ndarray:
     return (C.mix(docs.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
-def _back(docs: np.ndarray, starts: np.ndarray, check: np.ndarray, groups: int) -> Iterator[tuple]:
-    """Windows to remove, packed by the group of their document."""
+def _back(docs: np.ndarray, starts: np.ndarray, key: np.ndarray, groups: int) -> Iterator[tuple]:
+    """Windows to remove with their hashes, which tell rows that share a doc_id apart, packed by the group of their document."""
     to = _group(docs, groups)
     order = np.lexsort((starts, docs, to))
-    to, docs, starts, check = (x[order] for x in (to, docs, starts, check))
+    to, docs, starts, key = (x[order] for x in (to, docs, starts, key))
     for lo, hi in _runs(to):
-        yield int(to[lo]), 1, _places(docs[lo:hi], starts[lo:hi], check[lo:hi].astype(np.int64))
+        yield int(to[lo]), 1, _places(docs[lo:hi], starts[lo:hi], key[lo:hi].view(np.int64))
+
+
+def _code(starts: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A start and a window's hash as one word."""
+    return C.mix(key + (starts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 _WAY = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary())])
@@ -113,14 +118,13 @@ def _send(window: int, buckets: int, groups: int):
         # the places are in order but where rows share a doc_id
         order = np.argsort(key, kind="stable") if len(set(ids)) == len(ids) else np.lexsort((starts, docs, key))
         lead, later = _later(order, key, docs, starts)
-        rows = [(t, k, None, d) for t, k, d in _back(docs[later], starts[later], second[later] & np.uint64(0xFFFF), groups)]
+        rows = [(t, k, None, d) for t, k, d in _back(docs[later], starts[later], key[later], groups)]
         to = (second[lead] >> np.uint64(32)) % np.uint64(buckets)
         by = np.lexsort((starts[lead], docs[lead], to))
         lead, to = lead[by], to[by]
         for lo, hi in _runs(to):
             x = lead[lo:hi]
-            check = (second[x] & np.uint64(0xFFFF)).astype("<u2")
-            rows.append((int(to[lo]), 0, key[x].astype("<u8").tobytes() + check.tobytes(), _places(docs[x], starts[x])))
+            rows.append((int(to[lo]), 0, key[x].astype("<u8").tobytes(), _places(docs[x], starts[x])))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +155,12 @@ def _count(groups: int):
         for b in batches:
             for kind, hashes, places in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if kind == 0:
-                    n = len(hashes) // 10
-                    got.append((np.frombuffer(hashes, "<u8", n), np.frombuffer(hashes, "<u2", n, 8 * n), *_placed(places)))
+                    got.append((np.frombuffer(hashes, "<u8"), *_placed(places)))
             if on := [(p, k, d) for p, k, d in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True) if k == 1]:
                 yield _rows(on)
         if not got:
             return
-        key, check, docs, starts = (np.concatenate(x) for x in zip(*got, strict=True))
+        key, docs, starts = (np.concatenate(x) for x in zip(*got, strict=True))
         got.clear()
         order = np.argsort(key, kind="stable")
         k = key[order]
@@ -166,7 +169,7 @@ def _count(groups: int):
         order = order[np.lexsort((starts[order], docs[order], key[order]))]
         _, later = _later(order, key, docs, starts)
         if len(later):
-            yield _rows(list(_back(docs[later], starts[later], check[later], groups)))
+            yield _rows(list(_back(docs[later], starts[later], key[later], groups)))
 
     return run
 
@@ -184,16 +187,14 @@ def intervals(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate(([0], gap + 1))], starts[np.concatenate((gap, [len(starts) - 1]))] + window
 
 
-def _cut(text: bytes, asked: np.ndarray, check: np.ndarray, window: int, whole_words: bool) -> tuple[int, int, bytes]:
-    """Words, words removed and what is left of a text, whose windows at asked are removed if their hash agrees."""
-    words = text.split()
+def _cut(text: bytes, asked: np.ndarray, window: int, whole_words: bool) -> tuple[int, int, bytes]:
+    """Words, words removed and what is left of a text, whose windows with a code among the sorted asked are removed."""
+    words, gone = text.split(), np.zeros(0, np.int64)
     if len(asked):
-        _, starts, _, second = _hashed([text], window)
-        asked, i = np.unique(asked, return_index=True) if not (np.diff(asked) > 0).all() else (asked, slice(None))
-        check, ok = check[i], asked < len(starts)
-        asked, check = asked[ok], check[ok]
-        asked = asked[(second[asked] & np.uint64(0xFFFF)).astype(np.int64) == check]
-    lo, hi = intervals(asked, window)
+        _, starts, key, _ = _hashed([text], window)
+        code = _code(starts, key)
+        gone = starts[asked[np.minimum(np.searchsorted(asked, code), len(asked) - 1)] == code]
+    lo, hi = intervals(gone, window)
     if not len(lo):
         return len(words), 0, b" ".join(words) if whole_words else text
     if whole_words:
@@ -210,7 +211,7 @@ def _cut(text: bytes, asked: np.ndarray, check: np.ndarray, window: int, whole_w
 
 def _apply(window: int, whole_words: bool, names: list[str], out_schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, docs, starts, check = [], None, None, None
+        got, docs, code = [], None, None
         for b in batches:
             kinds = np.asarray(b.column(1))
             for p in b.column(2).filter(pa.array(kinds == 1)).to_pylist():
@@ -218,15 +219,16 @@ def _apply(window: int, whole_words: bool, names: list[str], out_schema: pa.Sche
             if not (kinds == 2).any():
                 continue
             if docs is None:  # removals are sorted before texts
-                docs, starts, check = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 3
+                docs, starts, key = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 3
                 got.clear()
-                order = np.lexsort((starts, docs))
-                docs, starts, check = docs[order], starts[order], check[order]
+                code = _code(starts, key.view(np.uint64))
+                order = np.lexsort((code, docs))
+                docs, code = docs[order], code[order]
             rows = b.filter(pa.array(kinds == 2))
             ids = np.asarray(rows.column(3).fill_null(_LAST))
             lo, hi = np.searchsorted(docs, ids), np.searchsorted(docs, ids, "right")
             open_ = zstandard.ZstdDecompressor()
-            done = [(0, 0, b"") if t is None else _cut(open_.decompress(t), starts[x:y], check[x:y], window, whole_words) for t, x, y in zip(rows.column(4).to_pylist(), lo, hi, strict=True)]
+            done = [(0, 0, b"") if t is None else _cut(open_.decompress(t), code[x:y], window, whole_words) for t, x, y in zip(rows.column(4).to_pylist(), lo, hi, strict=True)]
             n, cut, kept = zip(*done, strict=True)
             rest = rows.column(5)
             yield pa.RecordBatch.from_arrays([*(rest.field(i) for i in range(len(names))), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=out_schema)

@@ -73,6 +73,15 @@ def test_substring(docs, none):
     assert kept[5] == "one two three" and kept[1] == texts()[5][1] and kept[3] == f"four {PASSAGE}  \tfive"
 
 
+@pytest.mark.parametrize("same", [None, 50])
+def test_substring_of_rows_that_share_an_id(spark, same):
+    """Two rows of one id repeat different documents from the same starts: both lose all that is repeated."""
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, one), (2, two), (same, one + " tail"), (same, two + " rest"), (same, " ".join(f"c{i}" for i in range(60)))]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["n_words"], r["n_removed"], r["kept_text"]) for r in got if r["doc_id"] == same) == sorted([(61, 60, "tail"), (61, 60, "rest"), (60, 0, rows[4][1])])
+
+
 def test_vantage(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(700, 8)).astype(np.float32)
