@@ -2,9 +2,10 @@
 
 A dictionary is made for each language from a bounded sample of labelled rows (`sample` documents, `piece` bytes of
 each, `size` bytes in all). A text is lower-cased, all of ASCII but letters becomes space, and the whole of it is
-compressed once with each dictionary. The smallest result names the language; ties go to the language with more
-labelled rows, then to the smaller name. The margin, 1 - smallest / second, is the score: narrow margins are rejected
-by accepted().
+compressed with each dictionary, in chunks of `CHUNK` bytes that know nothing of each other: a dictionary helps each as
+much, so that the margin of a long text is that of its chunks. The smallest sum names the language; ties go to the
+language with more labelled rows, then to the smaller name. The margin, 1 - smallest / second, is the score: narrow
+margins are rejected by accepted().
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a null or empty language is not learned; with
 one language every text with a letter is that, with score 1; with none all are `und`; a null id counts as the text ''
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from harvestry.llm import common as C
 
 SAMPLE, PIECE, SIZE, LEVEL = 300, 4000, 1 << 18, 6
+#: Bytes of text that are compressed at a time.
+CHUNK = 1 << 14
 #: Margins below this are narrow.
 NARROW = 0.002
 #: What the dictionaries may take together, in bytes: they go to every executor.
@@ -65,7 +68,8 @@ def _predict(learned, level: int):
             if not packs or text is None or not _LETTER.search(text):
                 return "und", 0.0
             data = plain(text)
-            sizes = [len(pack.compress(data)) for _, pack in packs]
+            chunks = [data[i : i + CHUNK] for i in range(0, max(1, len(data)), CHUNK)]
+            sizes = [sum(len(pack.compress(c)) for c in chunks) for _, pack in packs]
             best = min(range(len(sizes)), key=sizes.__getitem__)
             second = min((n for i, n in enumerate(sizes) if i != best), default=0)
             return packs[best][0], 1.0 - sizes[best] / second if second else 1.0

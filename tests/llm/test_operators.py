@@ -416,6 +416,28 @@ def test_language(spark, none):
     assert {r["lang_pred"] for r in language_id.identify(df, []).collect()} == {"und"}
 
 
+def test_language_of_long_texts(sf):
+    """A clear text keeps its margin at any length."""
+    import types
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    by = {}
+    for t, k in zip(*(pq.read_table(f"{sf}/documents.parquet", columns=["text", "lang"]).column(i).to_pylist() for i in (0, 1)), strict=True):
+        if t and k:
+            by.setdefault(k, []).append(t)
+    learned = [(k, b" ".join(language_id.plain(t)[: language_id.PIECE] for t in ts)[: language_id.SIZE]) for k, ts in sorted(by.items())]
+    r = np.random.default_rng(3)
+    ts = by["en"]
+    long = " ".join(" ".join(r.permutation(ts[i].split())) for i in r.integers(len(ts), size=12_000_000 // (sum(map(len, ts)) // len(ts))))
+    batch = pa.RecordBatch.from_arrays([pa.array([long[:30_000], long]), pa.array([0, 1])], ["text", "rest"])
+    out = next(iter(language_id._predict(types.SimpleNamespace(value=learned), language_id.LEVEL)(iter([batch]))))
+    short_score, score = out.column(1).to_pylist()
+    assert out.column(0).to_pylist() == ["en", "en"]
+    assert score >= 5 * language_id.NARROW and score > 0.8 * short_score
+
+
 def test_sizes(docs):
     got = sorted((str(r[0]), r[1]) for r in docs.select("doc_id", C.size_of_words(F.col("text"))).collect())
     assert got == sorted((str(d), len(words(t))) for d, t, *_ in texts())
