@@ -402,6 +402,34 @@ def _events(events: list[dict], spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e["run"], e["first"], e["last"], e["forgotten"]) for e in events], "run int, first long, last long, forgotten long")
 
 
+def _rules(rules: DataFrame, *more: str) -> DataFrame:
+    return rules.select(*more, F.array_join("antecedent", " ").alias("antecedent"), F.array_join("consequent", " ").alias("consequent"), "count", F.round("confidence", 6).alias("confidence"), F.round("lift", 6).alias("lift"))
+
+
+# Those of the queries above whose SQL ends at a level, with sets of any size; no SQL says that.
+
+
+def min_count_filter_all(spark: SparkSession, d: str) -> DataFrame:
+    return _text(mining.apriori(T.userday(spark, d), mining.min_count(600)))
+
+
+def frequent_all_apriori_all(spark: SparkSession, d: str) -> DataFrame:
+    return _text(mining.frequent_itemsets(T.userday(spark, d), 0.01, "apriori"))
+
+
+def rules_all_splits_all(spark: SparkSession, d: str) -> DataFrame:
+    tx = T.userday(spark, d)
+    return _rules(mining.association_rules(mining.frequent_itemsets(tx, 0.02), tx.count(), 0.3, 0.5))
+
+
+def block_itemsets_all(spark: SparkSession, d: str) -> DataFrame:
+    return _text(mining.block_itemsets(T.stream(spark, d), BLOCK, 0.05), "block")
+
+
+def block_rules_all(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(mining.association_rules(mining.block_itemsets(T.stream(spark, d), BLOCK, 0.05), BLOCK, 0.2, 1.0, by=["block"]), "block")
+
+
 def ssdd_drift(spark: SparkSession, d: str) -> DataFrame:
     o = modes.Options("SSDD", min_support=0.05, block_size=BLOCK, tree_drift=0.1, item_drift=0.9)
     return _events(drift.detect(T.stream(spark, d), o, flush=True), spark)
@@ -437,5 +465,5 @@ def disctree_mode(spark: SparkSession, d: str) -> DataFrame:
     return _text(modes.run(T.userday(spark, d), modes.Options("disctree", min_support=0.02, sort_interval=1000, prune_depth=4, min_disc=0.0)).itemsets)
 
 
-for f in (ssdd_drift, dbdd_drift, ddtree_drift, ssdd_checkpoints, spo_resorts, minabssup_mode, disctree_mode):
+for f in (min_count_filter_all, frequent_all_apriori_all, rules_all_splits_all, block_itemsets_all, block_rules_all, ssdd_drift, dbdd_drift, ddtree_drift, ssdd_checkpoints, spo_resorts, minabssup_mode, disctree_mode):
     QUERIES[f.__name__] = f

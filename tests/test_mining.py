@@ -122,3 +122,35 @@ def test_sliding(spark):
     tx = T.make_transactions(spark, [["a"], ["a", "b"], ["b"], ["a"], ["c"], ["a"]])
     got = {(r["tid"], r["item"]): r["count"] for r in counting.sliding_counts(tx, 4, 2).collect()}
     assert got == {(1, "a"): 2, (1, "b"): 1, (3, "a"): 3, (3, "b"): 2, (5, "a"): 2, (5, "b"): 1, (5, "c"): 1}
+
+
+def test_block_rules_of_all_sizes(spark):
+    """All splits of all sets of every whole block, against brute force."""
+    import itertools
+
+    from harvestry import registry
+
+    at = "/root/testdata/sf0.01"
+    blocks = {}
+    for r in registry.T.stream(spark, at).select("tid", "items").collect():
+        blocks.setdefault(r["tid"] // registry.BLOCK, []).append(frozenset(r["items"]))
+    n, want = registry.BLOCK, set()
+    for block, tx in blocks.items():
+        if len(tx) < n:
+            continue
+        count = {}
+        for t in tx:
+            for k in range(1, len(t) + 1):
+                for c in itertools.combinations(sorted(t), k):
+                    count[c] = count.get(c, 0) + 1
+        sets = {c: x for c, x in count.items() if x / n >= 0.05}
+        for c, x in sets.items():
+            for k in range(1, len(c)):
+                for a in itertools.combinations(c, k):
+                    b = tuple(i for i in c if i not in a)
+                    if (conf := (x / n) / (sets[a] / n)) > 0.2 and conf / (sets[b] / n) > 1.0:
+                        want.add((block, " ".join(a), " ".join(b), x))
+    got = [tuple(r)[:4] for r in registry.QUERIES["block_rules_all"](spark, at).collect()]
+    print("rules:", len(want), "of pairs:", sum(" " not in a + b for _, a, b, _ in want))
+    assert sorted(got) == sorted(want)
+    assert any(" " in a or " " in b for _, a, b, _ in want)
