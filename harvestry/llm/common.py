@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset and
+    they are one process. On a cluster the setting is required: other executors would not see a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="harvestry-"))
         root = _OWN[0]
@@ -42,6 +46,18 @@ def written(df: DataFrame, at: str | None = None) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, F.Column]:
+    """df, and a column that names each of its rows the same at each reading: a file's rows by file and place; other
+    tables are written first."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    try:
+        df.select(place)
+        return df, place
+    except AnalysisException:  # not the rows of Parquet files
+        df = written(df)
+        return df, place
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Deletes a table of written(); quietly does nothing once the session has ended."""
     try:

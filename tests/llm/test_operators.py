@@ -141,33 +141,91 @@ def test_warc(spark):
         warc.parse(raw.replace(b"data", b"dada"))
 
 
+def fair(sizes, weights, share, most):
+    """Targets by sharing the excess again until none is above."""
+    total = share * sum(sizes.values())
+    weight = dict(zip(sorted(sizes, key=lambda s: (s is None, (s or "").encode())), itertools.cycle(weights), strict=False))
+    target, open_ = {}, set(sizes)
+    while open_:
+        rest = total - sum(target.values())
+        part = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if part[s] >= most * sizes[s]}
+        if not over:
+            return target | part
+        target |= {s: most * sizes[s] for s in over}
+        open_ -= over
+    return target
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix_sources(docs).collect()
     sizes = Counter()
     for _, t, _, s in texts():
         sizes[s] += len(words(t))
-    total = 1.5 * sum(sizes.values())
-    weights = dict(zip(sorted(sizes, key=lambda s: (s is None, s or "")), itertools.cycle((3, 1, 2)), strict=False))
-    target, open_ = {}, set(sizes)
-    while True:  # the excess is shared again until none is above
-        rest = total - sum(target.values())
-        share = {s: rest * weights[s] / sum(weights[x] for x in open_) for s in open_}
-        over = {s for s in open_ if share[s] >= 2 * sizes[s]}
-        if not over:
-            break
-        target |= {s: 2.0 * sizes[s] for s in over}
-        open_ -= over
-    target |= share
-    assert {r["source"]: pytest.approx(r["target"]) for r in got} == target
+    assert {r["source"]: pytest.approx(r["target"]) for r in got} == fair(sizes, (3, 1, 2), 1.5, 2.0)
     assert len(got) == len(texts()) and all(0 <= r["copies"] <= 2 for r in got)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs).collect()))
     assert mixing.mix_sources(none).count() == 0
-    many = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', 1 + cast(id % 50 AS int)) AS text", "concat('s', id % 3) AS source")
-    taken, goal = Counter(), {}
-    for r in mixing.mix_sources(many, (3, 1, 2), 0.9, 1.5).collect():
-        taken[r["source"]] += r["size"] * r["copies"]
-        goal[r["source"]] = r["target"]
-    assert all(abs(taken[s] - goal[s]) <= 25 for s in goal)
+
+
+@pytest.mark.parametrize(
+    ("weights", "share", "totals", "ids"),
+    [
+        ((3, 1, 2), 1.5, [4500, 1500, 3000, 4500], "own"),
+        ((3, 1, 2), 1.5, [1500] * 6, "one"),
+        ((1, 1, 1), 1.0, [900, 900], "null"),
+        ((3, 1, 2), 2.0, [600, 300, 0, 900], "own"),
+    ],
+)
+def test_mixing_of_ties_and_equal_rows(spark, weights, share, totals, ids):
+    """Sources that tie in cap over weight, and rows of one id or none, equal ones among them: targets are met."""
+    r = np.random.default_rng(sum(totals) + len(totals))
+    rows = []
+    for i, total in enumerate(totals):
+        rows.append((-1, "", f"s{i}" if i else None))
+        while total:
+            k = int(min(total, r.choice([1, 2, 3, 5, 30])))
+            rows.append(({"own": len(rows), "one": 7, "null": None}[ids], "w " * k, f"s{i}" if i else None))
+            total -= k
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, share).collect()
+    sizes, taken, target = Counter(), Counter(), {}
+    for x in got:
+        assert 0 <= x["copies"] <= 2 and x["target"] >= 0
+        sizes[x["source"]] += x["size"]
+        taken[x["source"]] += x["size"] * x["copies"]
+        target[x["source"]] = x["target"]
+    want = fair(sizes, weights, share, 2.0)
+    assert len(got) == len(rows) and target == {s: pytest.approx(t) for s, t in want.items()}
+    assert sum(target.values()) == pytest.approx(min(share * sum(sizes.values()), 2 * sum(sizes.values())))
+    assert all(abs(taken[s] - want[s]) <= 15 for s in sizes)
+
+
+def test_mixing_by_odds(spark):
+    """Copies follow the weights: over many documents, those of four times the weight are taken four times as often."""
+    many = spark.range(6000).selectExpr("id AS doc_id", "repeat('w ', 1 + cast(id % 2 AS int) * 15) AS text", "'s' AS source", "id % 3 AS grade")
+    got = mixing.mix_sources(many, (1,), 0.5).collect()
+    mean = {k: sum(r["copies"] for r in got if r["size"] == k) / 3000 for k in (1, 16)}
+    level = 0.5 * 17 / (1 + 16 * 4)  # copies are level times the square root of the size
+    assert mean[1] == pytest.approx(level, abs=0.03) and mean[16] == pytest.approx(4 * level, abs=0.03)
+    assert abs(sum(r["size"] * r["copies"] for r in got) - 25_500) <= 8
+    # a weight of documents' own, and what is cut off at `most` shared again
+    graded = many.withColumn("text", F.lit("a b"))
+    for most, want in ((2.0, {0: 0.0, 1: 2 / 3, 2: 4 / 3}), (1.2, {0: 0.0, 1: 0.8, 2: 1.2})):
+        own = F.when(F.col("grade") == 0, F.lit(-1.0)).otherwise(F.col("grade").cast("double"))
+        rows = mixing.repeated(graded, (1,), 2 / 3, most, weight=own).groupBy("grade").count().collect()
+        assert {k: pytest.approx(v, abs=0.05) for k, v in want.items() if v} == {x["grade"]: x["count"] / 2000 for x in rows}
+
+
+def test_mixing_keeps_rows_apart(spark, tmp_path):
+    """repeated() counts for each row, from a file and from a program, whatever columns it has."""
+    rows = [(1, "a b c", "s", "x"), (1, "d", "s", "y"), (None, "e f", None, "z"), (None, "e f", None, "z"), (2, None, "s", "n"), (3, "", "t", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    df.write.parquet(str(tmp_path / "t"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "t"))):
+        out = mixing.repeated(docs, (1,), 2.0)
+        assert out.columns == df.columns
+        assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(str(r) for r in rows if (r[1] or "").split() for _ in range(2))
+    assert mixing.repeated(df.limit(0)).count() == 0
 
 
 def test_fingerprints(spark, docs, none):
