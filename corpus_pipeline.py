@@ -10,7 +10,7 @@ DataFrame that is written as Parquet and read again as the docs of the next.
    1,024-bit SimHash fingerprints find the candidates, an exact comparison decides.
 3. substring_dedup: passages of 20 words and more that an earlier document, or an earlier place of the document, has are
    cut out of the text; n_chars follows. Documents stay, also if nothing is left of them.
-4. mix_sources: documents are dropped or repeated so that sources take their target weights.
+4. mix_sources: documents are dropped or repeated so that sources take their target weights, long ones rather kept.
 5. packing: the documents' tokens as pieces of full sequences.
 """
 
@@ -60,9 +60,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mix_sources(docs).where("copies > 0").groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    mixed = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """Rows, not ids, are taken: those that share an id or have none have copies of their own."""
+    return mixing.repeated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
