@@ -16,8 +16,12 @@ def _own() -> str:
 
 
 def shared_path(spark) -> str:
-    """A new path below spark.checkpoint.dir; in a temporary folder where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own()
+    """A new path below spark.checkpoint.dir; in a temporary folder where that is unset and Spark is one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
+        root = _own()
     return f"{root.rstrip('/')}/harvestry-{uuid.uuid4().hex}"
 
 
