@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import math
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +81,23 @@ def parts(df: DataFrame, per_mb: float = 12.0) -> int:
     return max(least, min(200_000, math.ceil(size / (per_mb * 1e6))) if size < 1 << 60 else least)
 
 
+def lean(run):
+    """A function of Arrow batches that gives its memory back when it ends, for workers outlive their tasks and share an
+    executor with the next ones."""
+
+    @functools.wraps(run)
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return done
+
+
 def size_of_words(text) -> F.Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

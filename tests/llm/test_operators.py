@@ -87,7 +87,7 @@ def test_vantage(spark):
     x = r.normal(size=(700, 8)).astype(np.float32)
     x[30:60] = x[3]
     rows = [(i, [float(v) for v in x[i]], "q") for i in range(700)]
-    rows += [(701, None, "q"), (702, [0.0] * 8, "q"), (703, [math.nan] * 8, "q"), (704, [math.inf] + [1.0] * 7, "q"), (None, [1.0] * 8, "q"), (705, [1.0, 2.0], "q"), (706, [2.0, 1.0], "q"), (3, rows[3][1], "q")]
+    rows += [(701, None, "q"), (702, [0.0] * 8, "q"), (703, [math.nan] * 8, "q"), (704, [math.inf] + [1.0] * 7, "q"), (None, [1.0] * 8, "q"), (705, [1.0, 2.0], "q"), (706, [2.0, 1.0], "q")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id string")
     got = vantage.nearest(df, F.col("id") % 20 == 0).collect()
     p = x.astype(np.float64)
@@ -100,6 +100,25 @@ def test_vantage(spark):
     assert [(g["vec_id"], g["score"]) for g in small] == [(706, 4.0)]
 
 
+def test_vantage_of_rows_that_share_an_id(spark):
+    """Candidates are rows: of two that share an id both are found, and a query's namesake is no part of it."""
+    rows = [(20, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [5.0, 0.0]), (4, [2.0, 0.0]), (4, [2.0, 0.0]), (20, [3.0, 3.0])]
+    got = vantage.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    assert Counter((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got) == Counter(
+        [(20, 1, 3, 5.0), (20, 2, 20, 3.0), (20, 3, 4, 2.0), (20, 4, 4, 2.0), (20, 5, 3, 0.0)] + [(20, 1, 3, 15.0), (20, 2, 4, 6.0), (20, 3, 4, 6.0), (20, 4, 3, 3.0), (20, 5, 20, 3.0)]
+    )
+
+
+def test_vantage_deals_queries_out(spark, monkeypatch):
+    """Many small shards, and several tasks for each, find what one does."""
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, r.normal(size=3).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, vantage.nearest(df, F.col("id") % 2 == 0, 5).collect()))
+    for name, value in (("SHARD", 90), ("QUERIES", 20), ("ASKED", 3)):
+        monkeypatch.setattr(vantage, name, value)
+    assert sorted(map(tuple, vantage.nearest(df, F.col("id") % 2 == 0, 5).collect())) == want
+
+
 def test_vantage_factor():
     r = np.random.default_rng(4)
     x = r.normal(size=(3000, 2))
@@ -242,6 +261,22 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.next_text(one, lambda x: x, {"text": "after"}).first()["after"] == "only"
 
 
+def test_next_text_of_hot_ids(spark, monkeypatch):
+    """Ids that many rows share, and rows without one, are spread over ranges; all form one circle of descending ids."""
+    monkeypatch.setattr(C, "parts", lambda df, per_mb=0: 8)
+    rows = [(7, f"seven {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, f"own {i}") for i in range(20, 120)] + [(3, "three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprint.next_text(df, lambda d: d.withColumn("task", F.spark_partition_id()), {"text": "after"}).collect()
+    after = {r["text"]: r["after"] for r in got}
+    ids = {t: i for i, t in rows}
+    seen = ["own 119"]
+    while len(seen) < len(rows):
+        seen.append(after[seen[-1]])
+    assert set(seen) == set(ids) and after[seen[-1]] == "own 119"
+    assert [ids[t] for t in seen] == [*range(119, 19, -1), *[7] * 300, 3, *[None] * 200]
+    assert len({r["task"] for r in got if r["doc_id"] == 7}) > 1 and len({r["task"] for r in got if r["doc_id"] is None}) > 1
+
+
 def test_edits(spark, sf):
     t = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     ids = sorted(t, reverse=True)
@@ -264,8 +299,8 @@ def test_winnowing_rule(spark):
     df = spark.createDataFrame([(text,)], "text string")
     tokens = text.split()
     n = len(tokens) - 4
-    grams = spark.createDataFrame([(i, tokens[i : i + 5]) for i in range(n)], "i int, g array<string>").select("i", F.shiftrightunsigned(F.xxhash64("g"), 28).alias("h"))
-    h = [x["h"] for x in grams.orderBy("i").collect()]
+    each = {x["t"]: x["h"] for x in spark.createDataFrame([(t,) for t in sorted(set(tokens))], "t string").select("t", F.shiftrightunsigned(F.xxhash64("t"), 28).alias("h")).collect()}
+    h = [sum(each[t] % fingerprint.P * fingerprint.BASE ** (4 - j) for j, t in enumerate(tokens[i : i + 5])) % fingerprint.P for i in range(n)]
     want = set()
     for i in range(n - 15):
         least = min(h[i : i + 16])
@@ -274,10 +309,15 @@ def test_winnowing_rule(spark):
     assert {(int(p), int(x, 16)) for x, p in (e.split(":") for e in got.split())} == want
     same = df.select(fingerprint.likeness(fingerprint.winnow(F.col("text")), fingerprint.winnow(F.col("text"))), fingerprint.likeness(fingerprint.winnow(F.lit("")), fingerprint.winnow(F.col("text")))).first()
     assert tuple(same) == (1.0, 0.0)
-    # a shared run of 20 tokens shares a fingerprint, also without white space
+    # a shared run of 20 tokens shares a fingerprint, also without white space, wherever it stands
     solid = "".join(tokens)
-    got = df.select(fingerprint.likeness(fingerprint.winnow(F.lit(solid)), fingerprint.winnow(F.lit(solid[:600] + "z" * 300)))).first()[0]
-    assert 0.3 < got < 1.0
+    got = df.select(*(fingerprint.likeness(fingerprint.winnow(F.lit(solid)), fingerprint.winnow(F.lit(x))) for x in (solid[:600] + "z" * 300, "q" + solid, "word " + solid[7:]))).first()
+    assert 0.3 < got[0] < 1.0 and got[1] > 0.95 and got[2] > 0.95
+    # runs of any length roll up from their parts
+    hashes = [int(x) for x in r.integers(0, fingerprint.P, 40)]
+    for k in (1, 2, 3, 5, 7, 8, 13):
+        rolled = df.select(fingerprint._rolled(F.array(*(F.lit(x).cast("long") for x in hashes)), k)).first()[0]
+        assert rolled[: 41 - k] == [sum(x * pow(fingerprint.BASE, k - 1 - j, fingerprint.P) for j, x in enumerate(hashes[i : i + k])) % fingerprint.P for i in range(41 - k)]
 
 
 def test_urls(spark):
@@ -297,9 +337,19 @@ def test_url_trees_learn(spark):
     df = df.withColumn("host", host).withColumn("path", path)
     df = df.withColumn("verdict", F.when(F.endswith("host", F.lit(".net")) & ~F.startswith("path", F.lit("/en/")), "block").otherwise("allow")).cache()
     held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    model = url_filter.Filter(df.where(~held), trees=5)
+    model = url_filter.Filter(df.where(~held).select("url", "host", "path", "verdict"), trees=5)
     r = model.verdicts(df.where(held)).agg(F.avg((F.col("method") == F.col("verdict")).cast("int"))).first()[0]
     assert r > 0.97
+    # rates count all labelled URLs, however few the trees see; a URL that they learn from leaves out its own fold
+    few = url_filter.Filter(df.where(~held).select("url", "host", "path", "verdict"), trees=2, sample=200)
+    n = df.where(~held).count()
+    assert few.stats.groupBy("kind").agg(F.sum("n").alias("n")).distinct().count() == 4 and {r["n"] for r in few.stats.groupBy("kind").agg(F.sum("n").alias("n")).collect()} == {n}
+    fold = F.floor(url_filter._draw(1) * url_filter.FOLDS)
+    counts = {(r["p"], r["fold"]): (r["b"], r["n"]) for r in df.where(~held).groupBy(F.regexp_extract("path", "^/([^/]*)", 1).alias("p"), fold.alias("fold")).agg(F.sum((F.col("verdict") == "block").cast("int")).alias("b"), F.count("*").alias("n")).collect()}
+    one = few._vectors(url_filter.lexical(df.where(~held).withColumn("fold", fold.cast("int")).limit(50)), own_fold=True).collect()
+    for r in one:
+        b, m = (sum(c[i] for (p, f), c in counts.items() if p == r["k_segment"] and f != r["fold"]) for i in (0, 1))
+        assert r["f_segment"] == pytest.approx((b + 2 * few.share) / (m + 2))
     e = spark.range(1).select(url_filter.entropy(F.lit("aabb")), url_filter.entropy(F.lit(""))).first()
     assert tuple(e) == (1.0, 0.0)
 
@@ -403,20 +453,65 @@ def test_tokens():
         assert np.frombuffer(ids(x), "<u2").tolist() == [*t.encode(x, add_special_tokens=False).ids, 0], x
 
 
-def test_schedule():
-    for sizes in ([5000, 100, 3000, 17], [1024], [3], [2048, 2048, 4096]):
-        s = packing.Schedule(sizes, 64)
-        seen = Counter()
-        for q, n in enumerate(sizes):
-            at = 0
-            for first, k, seq, off in itertools.chain.from_iterable(((a + b, k, w, o) for b, k, w, o in s.pieces(q, a, min(333, n - a))) for a in range(0, n, 333)):
-                assert first == at
-                at += k
-                seen.update((seq, off + i) for i in range(k))
-            assert at == n
-        assert max(seen.values()) == 1 and len(seen) == sum(sizes)
-        for w in range(s.full):  # no deficit of a token or more is carried
-            assert all(abs(s.served(q, w) - w * 64 * n / sum(sizes)) < 1 for q, n in enumerate(sizes))
+@pytest.mark.parametrize(
+    ("sizes", "weights"),
+    [([5000, 100, 3000, 17], None), ([1024], None), ([3], None), ([2048, 2048, 4096], None), ([5000, 100, 3000, 0, 900], [1, 1, 1, 1, 1]), ([700, 6000, 333], [5, 2, 0])],
+)
+def test_schedule(sizes, weights):
+    s = packing.Schedule(sizes, 64, weights)
+    seen = Counter()
+    for q, n in enumerate(sizes):
+        at = 0
+        for first, k, seq, off in itertools.chain.from_iterable(((a + b, k, w, o) for b, k, w, o in s.pieces(q, a, min(333, n - a))) for a in range(0, n, 333)):
+            assert first == at
+            at += k
+            seen.update((seq, off + i) for i in range(k))
+        assert at == n
+    assert (not seen or max(seen.values()) == 1) and len(seen) == sum(sizes)
+    # a round of its own, window by window: quantum and deficit, dry queues leave
+    left, w = list(sizes), weights or sizes
+    for n in range(s.full):
+        had = [s.served(q, n + 1) - s.served(q, n) for q in range(len(sizes))]
+        assert sum(had) == 64
+        active = [x if left[q] else 0 for q, x in enumerate(w)]
+        if all(left[q] > 64 for q in range(len(sizes)) if active[q]) and any(active):
+            for q, x in enumerate(active):
+                assert abs(had[q] - 64 * x / sum(active)) < 2  # a quantum, and less than a token of deficit either way
+        left = [x - y for x, y in zip(left, had, strict=True)]
+        assert all(abs(s.deficit(q, n + 1)) < 1 for q in range(len(sizes)))
+    if weights is None:
+        for n in range(s.full):
+            assert all(abs(s.served(q, n) - n * 64 * x / sum(sizes)) < 1 for q, x in enumerate(sizes))
+
+
+def test_lanes():
+    """Small sources take turns in the joint queue, all tokens in one piece each, spread evenly."""
+    plan = packing.Plan([9000], [400, 400, 200, 7], 100, turn=50)
+    place = {}
+    for lane, size in enumerate([9000, 400, 400, 200, 7]):
+        for first, k, seq, off in plan.pieces(lane, 0, size):
+            for i in range(k):
+                assert (seq, off + i) not in place
+                place[seq, off + i] = lane, first + i
+    assert len(place) == 10_007 and len(set(place.values())) == 10_007
+    halves = Counter((lane, seq < 50) for (seq, _), (lane, _) in place.items())
+    assert all(abs(halves[lane, True] - n / 2) < 60 for lane, n in ((1, 400), (2, 400), (3, 200)))
+
+
+def test_packing_to_weights(spark):
+    """Windows take target proportions as long as there are tokens; a source without a weight comes last."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, "a b c d e f g", "x" if i % 4 == 0 else "y") for i in range(4000)] + [(5000, "h " * 100, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), path, 64, {"x": 1, "y": 1}).collect()
+    source = {i: s for i, _, s in rows}
+    by = Counter()
+    for r in got:
+        by[r["sequence_id"], source[r["id"]]] += r["length"]
+    assert all(abs(by[w, "x"] - 32) <= 1 and abs(by[w, "y"] - 32) <= 1 for w in range(200))  # x has 8000 tokens
+    assert max(w for w, s in by if s == "x") < min(w for w, s in by if s is None)
+    assert sum(by.values()) == 4000 * 8 + next(r["doc_tokens"] for r in got if r["id"] == 5000)
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), path, 64, {"x": 1, "y": 100})
 
 
 def test_hpylm(docs, none):
@@ -455,6 +550,87 @@ def test_restaurants():
     assert [x.to_bytes(3, "big") for x in r.tolist()] == [b"\n\na", b"a\nb", b"ba\n", b"\n\nc", b"c\nd", b"dc\n"]
 
 
+def arrangements(counts, tables_of, theta, d):
+    """Weights of all numbers of tables of a restaurant's dishes: (tables, weight), with generalised Stirling numbers."""
+    top = max(counts)
+    stirling = [[0.0] * (top + 2) for _ in range(top + 2)]
+    stirling[0][0] = 1.0
+    for c in range(top):
+        for t in range(1, c + 2):
+            stirling[c + 1][t] = stirling[c][t - 1] + (c - t * d) * stirling[c][t]
+    for t in itertools.product(*(range(1 if c else 0, tables_of(c) + 1) for c in counts)):
+        rise = math.prod(theta + i * d for i in range(sum(t)))
+        yield t, rise * math.prod(stirling[c][k] for c, k in zip(counts, t, strict=True)) / math.prod(theta + i for i in range(sum(counts)))
+
+
+def test_gibbs_finds_the_posterior():
+    """Two restaurants over a shared parent: averaged predictive probabilities against the sum over all seatings."""
+    d, theta, base = 0.5, hpylm.THETA, 1 / 256
+    counts = {b"x": [4, 1, 2], b"y": [2, 3, 0]}  # of dishes a, b, c after x and after y
+    codes, n = [], []
+    for ctx, cs in counts.items():
+        for dish, c in zip(b"abc", cs, strict=True):
+            if c:
+                codes.append(ctx[0] << 8 | dish)
+                n.append(c)
+    asked = np.array([ctx[0] << 8 | dish for ctx in counts for dish in b"abcz"], np.uint64)
+    want, total = np.zeros(len(asked)), 0.0
+    for tx, wx in arrangements(counts[b"x"], lambda c: c, theta, d):
+        for ty, wy in arrangements(counts[b"y"], lambda c: c, theta, d):
+            c = [a + b for a, b in zip(tx, ty, strict=True)]
+            for s, ws in arrangements(c, lambda k: k, theta, d):
+                weight = wx * wy * ws * base ** sum(s)
+                above = [(c[i] - d * s[i] + (theta + d * sum(s)) * base) / (theta + sum(c)) for i in range(3)] + [(theta + d * sum(s)) * base / (theta + sum(c))]
+                p = [((cs[i] - d * t[i] if i < 3 else 0) + (theta + d * sum(t)) * above[i]) / (theta + sum(cs)) for cs, t in ((counts[b"x"], tx), (counts[b"y"], ty)) for i in range(4)]
+                want += weight * np.array(p)
+                total += weight
+    want /= total
+    tree = hpylm.Subtree(np.array(codes, np.uint64), np.array(n), 2, 0, 3)
+    for level in tree.levels:
+        level.discount = d
+    got, flat = np.zeros(len(asked)), lambda c: np.full(len(c), base)
+    for i in range(2100):
+        tree.sweep(flat)
+        if i >= 100:
+            got += tree.predict(asked, np.full(len(asked), base))
+            if i % 500 == 0:
+                for level in tree.levels:  # seats, tables and customers agree
+                    size = np.add.reduceat(np.append(level.seats.size, 0), level.seats.start[:-1])[level.place]
+                    used = np.add.reduceat(np.append(level.seats.size > 0, 0), level.seats.start[:-1])[level.place]
+                    assert (size == level.customers).all() and (used == level.tables).all()
+    assert np.abs(got / 2000 - want).max() < 0.015 and np.abs(got / 2000 / want - 1).max() < 0.12
+
+
+def test_model_beats_interpolated_bytes(spark, sf):
+    """Held-out texts are likelier than by interpolated n-grams of bytes, of the same order."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
+    rows = docs.collect()
+    scored = hpylm.score_texts(docs).cache()
+    got = scored.where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    train, test = [], []
+    for r in rows:
+        (test if hpylm.held_out(r["doc_id"]) else train).append(hpylm.spelled(r["text"].encode()))
+    after = [{} for _ in range(hpylm.ORDER)]
+    for t in train:
+        t = b"\n" * (hpylm.ORDER - 1) + t
+        for i in range(hpylm.ORDER - 1, len(t)):
+            for k in range(hpylm.ORDER):
+                after[k].setdefault(t[i - k : i], Counter())[t[i]] += 1
+    size = [{u: (sum(c.values()), len(c)) for u, c in level.items()} for level in after]
+    total = 0.0
+    for t in test:
+        t = b"\n" * (hpylm.ORDER - 1) + t
+        for i in range(hpylm.ORDER - 1, len(t)):
+            p = 1 / 256
+            for k in range(hpylm.ORDER):  # Witten and Bell: as much for the shorter context as there are distinct bytes
+                n, distinct = size[k].get(t[i - k : i], (0, 0))
+                if n:
+                    p = (after[k][t[i - k : i]][t[i]] + distinct * p) / (n + distinct)
+            total += math.log10(p)
+    assert got[0] > total
+    assert hpylm.perplexity(scored) == pytest.approx(10 ** (-got[0] / got[1]))
+
+
 def test_language(spark, none):
     langs = {"en": "the of and that with have this from they", "de": "der die und nicht von das mit sich auch", "fr": "les des une est pas que dans pour qui"}
     r = np.random.default_rng(1)
@@ -485,7 +661,7 @@ def test_language_of_long_texts(sf):
     for t, k in zip(*(pq.read_table(f"{sf}/documents.parquet", columns=["text", "lang"]).column(i).to_pylist() for i in (0, 1)), strict=True):
         if t and k:
             by.setdefault(k, []).append(t)
-    learned = [(k, b" ".join(language_id.plain(t)[: language_id.PIECE] for t in ts)[: language_id.SIZE]) for k, ts in sorted(by.items())]
+    learned = [(k, b" ".join(language_id.plain(t) for t in ts[: language_id.SAMPLE])) for k, ts in sorted(by.items())]
     r = np.random.default_rng(3)
     ts = by["en"]
     long = " ".join(" ".join(r.permutation(ts[i].split())) for i in r.integers(len(ts), size=12_000_000 // (sum(map(len, ts)) // len(ts))))
@@ -496,6 +672,58 @@ def test_language_of_long_texts(sf):
     assert score >= 5 * language_id.NARROW and score > 0.8 * short_score
 
 
+def test_language_by_hand(spark, tmp_path, sf):
+    """The registered query against dictionaries made by hand: few rows, so that all of them are learned from."""
+    import pyarrow.parquet as pq
+    import zstandard
+
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").limit(150).collect()]
+    odd = [(9000, "\u00bd \u00b2 \u2460", "en"), (9001, None, "de"), (9002, "  12 !", "de"), (9003, "\u4e2d", ""), (9005, "ok then " * 9000, "en"), (9006, "empty tag of a language " * 30, ""), (9006, "empty tag of a language " * 30, "")]
+    table = [(r["doc_id"], r["text"], r["lang"]) for r in rows] + odd
+    import pyarrow as pa
+
+    pq.write_table(pa.table({"doc_id": pa.array([x[0] for x in table], pa.int64()), "text": [x[1] for x in table], "lang": [x[2] for x in table], "source": ["s"] * len(table), "n_chars": [0] * len(table)}), f"{tmp_path}/documents.parquet")
+    got = Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in language_id.op10_language_id(spark, str(tmp_path)).collect())
+    learn = [x for x in table if x[1] is not None and x[2] is not None and zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    langs = sorted(Counter(x[2] for x in learn).items(), key=lambda kv: (-kv[1], kv[0]))
+    hashed = {(r["doc_id"], r["text"]): r["u"] for r in spark.createDataFrame([(x[0], x[1]) for x in learn], "doc_id long, text string").select("*", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("u")).collect()}
+    packs = []
+    for lang, _ in langs:
+        mine = [x for x in learn if x[2] == lang]
+        size = {id(x): len(x[1].encode()) for x in mine}
+        mine.sort(key=lambda x: (size[id(x)] > language_id.LONGEST and size[id(x)], hashed[x[0], x[1]], x[1]))
+        content = b" ".join(language_id.plain(x[1]) for x in mine[: language_id.SAMPLE])
+        packs.append((lang, zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)))
+    want = Counter()
+    for d, t, _ in table:
+        held = zlib.crc32(str(d).encode()) % 4 == 2
+        if t is None or not any(ch.isalpha() for ch in t):
+            want[d, held, "und", 0.0] += 1
+            continue
+        data = language_id.plain(t)
+        sizes = [sum(len(p.compress(data[i : i + language_id.CHUNK])) for i in range(0, len(data), language_id.CHUNK)) for _, p in packs]
+        best = sizes.index(min(sizes))
+        second = min(n for i, n in enumerate(sizes) if i != best)
+        want[d, held, packs[best][0], round(1 - sizes[best] / second, 9)] += 1
+    assert got == want and "" in {lang for lang, _ in langs}
+
+
+@pytest.mark.parametrize("name", ["op5_fingerprints", "op6_url_filter", "op7_simhash", "op8_packing", "op9_hpylm", "op10_language_id"])
+def test_columns_of_the_contract(spark, sf, name):
+    from harvestry.llm import registry
+
+    want = {
+        "op5_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "op6_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+        "op7_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+        "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+        "op9_hpylm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    }[name]
+    df = registry.QUERIES[name](spark, sf)
+    assert {c.split()[0]: c.split()[1] for c in want.split(", ")} == dict(df.dtypes)
+
+
 def test_sizes(docs):
     got = sorted((str(r[0]), r[1]) for r in docs.select("doc_id", C.size_of_words(F.col("text"))).collect())
     assert got == sorted((str(d), len(words(t))) for d, t, *_ in texts())
