@@ -152,7 +152,7 @@ def borders(rows: DataFrame, weights: Sequence[float], share: float, most: float
     out = out.join(second.select(F.col("at_source").alias("s1"), F.col("border").alias("last_rank")), F.col("source").eqNullSafe(F.col("s1")), "left")
     out = out.join(third.select(F.col("at_source").alias("s2"), F.col("border").alias("last_part")), F.col("source").eqNullSafe(F.col("s2")), "left")
     out = out.join(last.select(F.col("source").alias("s3"), "last_tie"), F.col("source").eqNullSafe(F.col("s3")), "left")
-    return out.drop("s0", "s1", "s2", "s3")
+    return C.written(out.drop("s0", "s1", "s2", "s3"))  # written, its size is known: documents need not be shuffled to it
 
 
 def copies(rows: DataFrame, mix: DataFrame, most: float) -> DataFrame:
