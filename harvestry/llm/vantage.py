@@ -7,13 +7,14 @@ vantage point can leave a half out if that is more than tau / factor away from d
 nearest so far: factor 1 is exact search, larger factors leave out more. Queries go through a tree together, those of
 each node in one product of matrices, nearer half first.
 
-Shards hold a bounded number of vectors; queries meet every shard in blocks, and what they find in each is merged. The
-k-th value of a shard is exact for the vectors that were reached: products are taken again component by component, so
+Shards hold a bounded number of vectors; queries meet every shard in blocks, a task having a shard and up to `ASKED`
+blocks, and what they find in each is merged. The k-th value of a shard is exact for the vectors that were reached: products are taken again component by component, so
 equal vectors tie exactly, and ties go to the smaller id.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without id;
-of rows that share an id the smallest vector counts; a query meets vectors of its own length; with fewer than k
-candidates all are found; an empty table gives no rows.
+rows that share an id are vectors of their own, and if they are queries each has an answer of its own, in which the others
+are candidates; a query meets vectors of its own length, which is unbounded but for a shard's memory; with fewer than k
+candidates all are found; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from harvestry.llm import common as C
 
 K, FACTOR = 20, 1.0
 SHARD, QUERIES, LEAF = 8192, 2048, 256
+#: Blocks of queries that one task answers; for more, a shard has a copy for each so many.
+ASKED = 64
 #: What rounding may cost, relative to the square of the largest length.
 SLACK = 1e-9
 
@@ -36,9 +39,9 @@ SLACK = 1e-9
 class Tree:
     """A vantage-point tree over vectors x of one length, lifted by the largest length m of all shards."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, m: float, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, m: float, leaf: int = LEAF, rows: np.ndarray | None = None):
+        """rows: numbers of the rows, if ids are not unique."""
         self.m = m
-        self.order = np.lexsort(ids[None, :])
         lift = np.sqrt(np.maximum(0.0, m * m - (x * x).sum(1)))
         self.full = np.hstack([x, lift[:, None]])
         self.nodes: list[tuple] = []  # (vantage row, inner low, inner high, outer low, outer high, inner, outer) or (begin, end)
@@ -63,11 +66,11 @@ class Tree:
 
         self.root = build(0, len(ids)) if len(ids) else -1
         self.vantage = {n[0]: self.full[n[0]] for n in self.nodes if len(n) == 7}
-        self.ids, self.x, self.full = ids[place], x[place], None
+        self.ids, self.rows, self.x, self.full = ids[place], (ids if rows is None else rows)[place], x[place], None
         self.visited = 0
 
     def search(self, own: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query number, id and product of the k nearest of each query (all that tie are cut by id); own: the queries' ids."""
+        """Query number, id and product of the k nearest of each query (all that tie are cut by id); own: the queries' rows."""
         n, slack = len(q), SLACK * max(self.m * self.m, 1e-300)
         lengths = (q * q).sum(1)
         products = np.full((n, k), -np.inf)  # the k largest so far, unordered
@@ -77,7 +80,7 @@ class Tree:
         def leaf(lo: int, hi: int, who: np.ndarray) -> None:
             self.visited += len(who) * (hi - lo)
             p = q[who] @ self.x[lo:hi].T
-            p[own[who][:, None] == self.ids[None, lo:hi]] = -np.inf
+            p[own[who][:, None] == self.rows[None, lo:hi]] = -np.inf
             least = products[who].min(1)
             i, j = np.nonzero((p >= least[:, None] - slack) & (p > -np.inf))
             if not len(i):
@@ -131,16 +134,16 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _search(k: int, factor: float, m: float):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by shard, the vectors (block -1) before the blocks of queries."""
-        now, ids, rows, tree = None, [], [], None
+        now, held, tree = None, [], None
 
-        def ask(block: tuple) -> pa.RecordBatch | None:
-            own, q = (np.concatenate(x) for x in zip(*block, strict=True))
-            i, vec, p = tree.search(own, q, k, factor)
-            return pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(vec), pa.array(p)], schema=schema)
+        def ask(block: list[tuple]) -> pa.RecordBatch:
+            row, own, q = (np.concatenate(x) for x in zip(*block, strict=True))
+            i, vec, p = tree.search(row, q, k, factor)
+            return pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(own[i]), pa.array(vec), pa.array(p)], schema=schema)
 
         pending, which = [], None
         for b in batches:
@@ -154,22 +157,21 @@ def _search(k: int, factor: float, m: float):
                     yield ask(pending)
                     pending = []
                 if key[0] != now:
-                    now, ids, rows, tree = key[0], [], [], None
+                    now, held, tree = key[0], [], None
                 part = b.slice(lo, hi - lo)
-                x = (np.asarray(part.column(3)), _matrix(part.column(4), int(dim[lo])))
+                x = (np.asarray(part.column(3)), np.asarray(part.column(4)), _matrix(part.column(5), int(dim[lo])))
                 if key[1] < 0:
-                    ids.append(x[0])
-                    rows.append(x[1])
-                elif rows or tree:
+                    held.append(x)
+                elif held or tree:
                     if tree is None:
-                        tree = Tree(np.concatenate(ids), np.concatenate(rows), m)
-                        ids, rows = [], []
+                        row, ids, vectors = (np.concatenate(y) for y in zip(*held, strict=True))
+                        tree, held = Tree(ids, vectors, m, rows=row), []
                     which = key
                     pending.append(x)
         if pending:
             yield ask(pending)
 
-    return run
+    return C.lean(run)
 
 
 def usable(vector: Column) -> Column:
@@ -180,29 +182,38 @@ def usable(vector: Column) -> Column:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of every row that is_query (of column id) holds for."""
-    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    v = C.written(v.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    v = v.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
+    v = C.written(v.withColumn("row", F.monotonically_increasing_id()))  # written, a row keeps its number
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
     stats = v.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.sqrt(F.max(norm)).alias("m")).collect()  # a row for each length of vectors
-    shards, base = [], 0
+    deal, base = [], 0
     for r in stats:
-        shards.append((r["dim"], base, -(-r["n"] // SHARD), max(1, -(-r["q"] // QUERIES))))
-        base += shards[-1][2]
-    if not shards:
+        shards, blocks = -(-r["n"] // SHARD), max(1, -(-r["q"] // QUERIES))
+        teams = -(-blocks // ASKED)
+        deal.append((r["dim"], base, shards, blocks, teams))
+        base += shards * teams
+    if not deal:
         return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     m = max(r["m"] for r in stats) * (1 + 1e-12)
-    of = F.create_map(*(x for d, b, n, q in shards for x in (F.lit(d), F.struct(F.lit(b).alias("b"), F.lit(n).alias("n"), F.lit(q).alias("q")))))[F.col("dim")]
-    # Hashes deal ids out evenly; every query goes to all shards, in blocks
-    mine = v.select((of["b"] + F.pmod(F.xxhash64("id"), of["n"])).cast("int").alias("shard"), F.lit(-1).alias("block"), "dim", "id", "v")
-    asked = v.where(is_query).select(F.explode(F.sequence(of["b"].cast("int"), (of["b"] + of["n"] - 1).cast("int"))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), of["q"]).cast("int").alias("block"), "dim", "id", "v")
-    # a shard's blocks of queries could be dealt to several tasks with a copy of it; one is enough here, shards being small
+    names = ("base", "shards", "blocks", "teams")
+    of = F.create_map(*(x for dim, *plan in deal for x in (F.lit(dim), F.struct(*(F.lit(y).alias(c) for y, c in zip(plan, names, strict=True))))))[F.col("dim")]
+    # Hashes deal rows out evenly, so that many rows of an id are no hot shard. A shard is a task for each team of blocks;
+    # every query goes to all shards
+    shard, block = F.pmod(F.xxhash64("row"), of["shards"]), F.pmod(F.xxhash64("row", F.lit(1)), of["blocks"]).cast("int")
+    each = lambda first, last, step: F.explode(F.sequence(first.cast("int"), last.cast("int"), step.cast("int")))
+    place = of["base"] + shard * of["teams"]
+    mine = v.select(each(place, place + of["teams"] - 1, F.lit(1)).alias("shard"), F.lit(-1).alias("block"), "dim", "row", "id", "v")
+    first = of["base"] + F.floor(block / ASKED)
+    asked = v.where(is_query).select(each(first, first + (of["shards"] - 1) * of["teams"], of["teams"]).alias("shard"), block.alias("block"), "dim", "row", "id", "v")
     rows = mine.unionByName(asked).repartitionById(base, F.col("shard")).sortWithinPartitions("shard", "block")
-    found = rows.mapInArrow(_search(k, factor, m), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = rows.mapInArrow(_search(k, factor, m), "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's search of all embeddings, exact: factor 1."""
     return nearest(C.table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
