@@ -2,11 +2,14 @@
 
 The trees (pyspark.ml, in the JVM) learn from URLs that rules have labelled: about `sample` of them, chosen by hash.
 Features: lengths, depth, labels, digit ratio, entropy, parameters, and how often labelled URLs of the same host suffix
-(one, two, three labels) and first path segment are blocked. Those statistics come from the sample too, so they have
-4 * sample rows at most, which is what bounds their broadcast.
+(one, two, three labels) and first path segment are blocked. Those statistics count all labelled URLs; they are tables
+of their own, joined as the plan sees fit. A URL that the trees learn from has the rates of the other folds (of FOLDS,
+by a hash of the URL), so that its own label is not among its features.
 
 Defined cases: a null URL, or one without ://, has empty host and path and fits no rule; of equally long rules the first
-given wins; if the labelled URLs are all of one verdict, that is the method's; if there are none, it allows.
+given wins; if the labelled URLs are all of one verdict, that is the method's; if there are none, it allows; equal URLs
+have equal verdicts, and repeated rows count each in the statistics; URLs of any length are taken whole; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from harvestry.llm import common as C
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SAMPLE = 20_000
 TREES, DEPTH = 12, 4
+FOLDS = 5
+KEYS = ("suffix1", "suffix2", "suffix3", "segment")
 FEATURES = ("f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_parameters", "f_query_length", "f_fragment", "f_hyphens", "f_suffix1", "f_suffix2", "f_suffix3", "f_segment")
 
 
@@ -48,13 +53,19 @@ def entropy(text: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.aggregate(F.filter(each, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p)))
 
 
+def keys(host: Column, path: Column) -> list[Column]:
+    """What statistics are kept of: the last one, two and three labels of the host, and the first segment of the path."""
+    labels = F.split(host, r"\.")
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (k - 1), F.lit(1)), F.lit(k)), ".")
+    return [*(last(k).alias(f"k_suffix{k}") for k in (1, 2, 3)), F.regexp_extract(path, r"^/([^/]*)", 1).alias("k_segment")]
+
+
 def lexical(urls: DataFrame) -> DataFrame:
     """urls (url, host, path) with the features that need no statistics, and the keys of those that do."""
     u = F.coalesce("url", F.lit(""))
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
     n = F.length(u)
     labels = F.split(F.col("host"), r"\.")
-    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (k - 1), F.lit(1)), F.lit(k)), ".")
     number = lambda c: c.cast("double")
     return urls.select(
         "*",
@@ -63,31 +74,48 @@ def lexical(urls: DataFrame) -> DataFrame:
         F.when(n == 0, 0.0).otherwise(F.length(F.regexp_replace(u, "[^0-9]", "")) / F.greatest(n, F.lit(1))).alias("f_digits"), entropy(u).alias("f_entropy"),
         number(F.when(query == "", 0).otherwise(F.size(F.split(query, "&")))).alias("f_parameters"), number(F.length(query)).alias("f_query_length"),
         number(F.contains(u, F.lit("#")).cast("int")).alias("f_fragment"), number(n - F.length(F.replace(u, F.lit("-"), F.lit("")))).alias("f_hyphens"),
-        *(last(k).alias(f"k_suffix{k}") for k in (1, 2, 3)), F.regexp_extract("path", r"^/([^/]*)", 1).alias("k_segment"),
+        *keys(F.col("host"), F.col("path")),
     )
 
 
+def _draw(part: int) -> Column:
+    """A number in [0, 1) that a URL decides; part: which of several."""
+    return F.pmod(F.xxhash64("url", F.lit(part)), F.lit(1 << 30)) / float(1 << 30)
+
+
 class Filter:
-    """Learned from a table of labelled URLs (host, path, url, verdict) of bounded size."""
+    """Learned from labelled URLs (host, path, url, verdict): rates from all of them, trees from about `sample`."""
 
-    def __init__(self, labelled: DataFrame, trees: int = TREES, depth: int = DEPTH):
+    def __init__(self, labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, sample: int = SAMPLE):
         counts = {r[0]: r[1] for r in labelled.groupBy("verdict").count().collect()}
-        self.share = counts.get("block", 0) / max(1, sum(counts.values()))
+        n = sum(counts.values())
+        self.share = counts.get("block", 0) / max(1, n)
         self.model: GBTClassificationModel | None = None
         if len(counts) < 2:
             return
-        rows = lexical(labelled).withColumn("blocked", (F.col("verdict") == "block").cast("int"))
-        self.stats = {}
-        for k in ("suffix1", "suffix2", "suffix3", "segment"):
-            self.stats[k] = C.written(rows.groupBy(F.col(f"k_{k}").alias("k")).agg(((F.sum("blocked") + F.lit(2.0) * self.share) / (F.count("*") + 2.0)).alias("r")))
-        rows = self._vectors(rows).select("features", F.col("blocked").cast("double").alias("label"))
-        rows = C.written(rows)
-        self.model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=1).fit(rows)
-
-    def _vectors(self, rows: DataFrame) -> DataFrame:
-        for k, stats in self.stats.items():
-            known = stats.select(F.col("k").alias(f"x_{k}"), F.col("r").alias(f"f_{k}"))  # bounded by the sample
-            rows = rows.join(F.broadcast(known), F.col(f"k_{k}") == F.col(f"x_{k}"), "left").drop(f"x_{k}").withColumn(f"f_{k}", F.coalesce(f"f_{k}", F.lit(self.share)))
+        fold = F.floor(_draw(1) * FOLDS).cast("int")
+        blocked = (F.col("verdict") == "block").cast("long")
+        rows = labelled.select(*keys(F.col("host"), F.col("path")), fold.alias("fold"), blocked.alias("blocked"))
+        # one pass over all labelled URLs: a row for each kind of key, key and fold
+        kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").alias("key")) for k in KEYS)))
+        parts = rows.select(kinds.alias("at"), "fold", "blocked").groupBy("at.kind", "at.key", "fold")
+        self.parts = C.written(parts.agg(F.sum("blocked").alias("b"), F.count("*").alias("n")))
+        self.stats = C.written(self.parts.groupBy("kind", "key").agg(F.sum("b").alias("b"), F.sum("n").alias("n")))
+        few = labelled.where(_draw(0) < sample / n).select("url", "host", "path", blocked.cast("double").alias("label"), fold.alias("fold"))
+        few = self._vectors(lexical(few.coalesce(4)), own_fold=True).select("features", "label")
+        self.model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=1).fit(C.written(few))
+
+    def _vectors(self, rows: DataFrame, own_fold: bool = False) -> DataFrame:
+        """rows with their features; own_fold: the rates leave out what a row's fold (column fold) has counted."""
+        for k in KEYS:
+            known = self.stats.where(F.col("kind") == k).select(F.col("key").alias("__key"), F.col("b").alias("__b"), F.col("n").alias("__n"))
+            rows = rows.join(known, F.col(f"k_{k}") == F.col("__key"), "left").drop("__key")
+            b, n = F.coalesce("__b", F.lit(0)), F.coalesce("__n", F.lit(0))
+            if own_fold:
+                own = self.parts.where(F.col("kind") == k).select(F.col("key").alias("__key"), F.col("fold").alias("__fold"), F.col("b").alias("__own"), F.col("n").alias("__of"))
+                rows = rows.join(own, (F.col(f"k_{k}") == F.col("__key")) & (F.col("fold") == F.col("__fold")), "left").drop("__key", "__fold")
+                b, n = b - F.coalesce("__own", F.lit(0)), n - F.coalesce("__of", F.lit(0))
+            rows = rows.withColumn(f"f_{k}", (b + 2.0 * self.share) / (n + 2.0)).drop("__b", "__n", "__own", "__of")
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
     def verdicts(self, urls: DataFrame) -> DataFrame:
@@ -106,13 +134,11 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     urls = urls.withColumn("host", host).withColumn("path", path)
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     urls = urls.withColumn("rule", rule).withColumn("verdict", verdict)
-    labelled = urls.where("verdict IS NOT NULL")
-    n = labelled.count()
-    u = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) / float(1 << 30)
-    learned = Filter(C.written(labelled.where(u < sample / max(n, 1)).select("url", "host", "path", "verdict").coalesce(4)))
+    learned = Filter(urls.where("verdict IS NOT NULL").select("url", "host", "path", "verdict"), sample=sample)
     done = learned.verdicts(urls)
     return done.select("id", "host", "path", "rule", F.coalesce("verdict", "method").alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's verdicts on all pages' URLs; those without a rule have the trees'."""
     return url_verdicts(C.table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
