@@ -12,8 +12,9 @@ fingerprints are one from here on. Candidates meet in tables:
 
 In a bucket, fingerprints lie as bit planes: word j of plane i holds bit i of 64 fingerprints. A query's distances to
 64 fingerprints are counted at once in carry-save counters, four planes of bits with a sticky overflow, and a block of
-words is abandoned once all its counters are beyond the radius. A bucket returns a spanning forest of its links, not the
-links, and a bucket over `most` fingerprints is dealt out to pairs of parts, each a task of its own, so no group of
+words is abandoned once all its counters are beyond the radius. Of wide fingerprints the first 256 bits are compared so,
+within 2.5 standard deviations of the radius' share, and what they leave is compared in all bits. A bucket returns a star
+for each component of its links, not the links, and a bucket over `most` fingerprints is dealt out to pairs of parts, each a task of its own, so no group of
 copies or near copies grows one task or a quadratic result. Components are found by alternating large-star and
 small-star steps over the forests' edges, each step a table in the shared folder.
 
@@ -21,7 +22,9 @@ near_duplicates() takes such links as candidates only: their radius is wide, so
 lost, and within the candidates' components every pair's sets of shingles are compared exactly.
 
 Defined cases: a null text has no words; a text without words has fingerprint zero and is linked like any other; a text
-of fewer words than a shingle has one shingle of all; a null id is kept and counts as the largest.
+of fewer words than a shingle has one shingle of all; a null id is kept and counts as the largest; repeated rows are rows
+of one fingerprint; rows that share an id are rows of their own; texts of any length are taken whole, each in one worker;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -109,7 +112,7 @@ def _fingerprints(shingle: int, bits: int, repeats: bool):
             out = [fingerprint(h if repeats else np.unique(h), bits).astype(">u8").tobytes() for h in hashes]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "fp"])
 
-    return run
+    return C.lean(run)
 
 
 def choose(distinct: int, bits: int, radius: int, miss: float, per_bucket: int = 256) -> list[np.ndarray]:
@@ -148,7 +151,7 @@ def _keys(tables: list[np.ndarray], words: int):
                     key = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)], ["key", "fp"])
 
-    return run
+    return C.lean(run)
 
 
 def near(rows: np.ndarray, cols: np.ndarray, radius: int, after: int | None = None, abandon: int = 8) -> np.ndarray:
@@ -204,22 +207,18 @@ def _beyond(count: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarra
     return above | over
 
 
-class _Sets:
-    """Union-find over the members of one bucket."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
+def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest members of components, given those before links x to y: all links hook larger roots to smaller ones at a
+    time, until none is left between two components."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
 
 
 #: Words that the bit-sliced search looks at; of wider fingerprints it takes the first, and all words decide on what it finds.
@@ -227,16 +226,23 @@ SCAN = 4
 
 
 def forest(rows: np.ndarray, cols: np.ndarray, same: bool, radius: int, tile: int = 512) -> list[tuple[int, int]]:
-    """Links that span those of rows with cols; same: they are the same. Columns are numbered after rows if not."""
+    """A star for each component of the links of rows with cols: as many pairs as there are members besides its smallest.
+
+    same: rows and cols are the same; columns are numbered after rows if not. Tiles whose members are one component
+    already are not compared.
+    """
     words = rows.shape[1]
     scan, loose = min(words, SCAN), radius
     if words > scan:
         p = radius / (64 * words)
         loose = round(64 * scan * p + 2.5 * math.sqrt(64 * scan * p * (1 - p)))
     base = 0 if same else len(rows)
-    sets, out = _Sets(base + len(cols)), []
+    root = np.arange(base + len(cols))
     for r in range(0, len(rows), tile):
         for c in range(r if same else 0, len(cols), 8 * tile):
+            known = np.concatenate((root[r : r + tile], root[base + c : base + c + 8 * tile]))
+            if (known == known[0]).all():
+                continue
             hit = near(rows[r : r + tile, :scan], cols[c : c + 8 * tile, :scan], loose, r - c if same else None)
             i, w = np.nonzero(hit)
             if not len(i):
@@ -244,13 +250,14 @@ def forest(rows: np.ndarray, cols: np.ndarray, same: bool, radius: int, tile: in
             which = np.unpackbits(hit[i, w].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             k, j = np.nonzero(which)
             x, y = i[k] + r, w[k] * 64 + j + c
+            apart = root[x] != root[y + base]
+            x, y = x[apart], y[apart]
             if words > scan:
                 true = np.bitwise_count(rows[x] ^ cols[y]).sum(axis=1, dtype=np.int64) <= radius
                 x, y = x[true], y[true]
-            for a, b in zip(x.tolist(), (y + base).tolist(), strict=True):
-                if sets.join(a, b):
-                    out.append((a, b))
-    return out
+            root = _joined(root, x, y + base)
+    member = np.flatnonzero(root != np.arange(len(root)))
+    return list(zip(root[member].tolist(), member.tolist(), strict=True))
 
 
 def _compare(radius: int, words: int):
@@ -289,7 +296,7 @@ def _compare(radius: int, words: int):
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    return run
+    return C.lean(run)
 
 
 def links(fps: DataFrame, bits: int, radius: int, distinct: int, miss: float, most: int = MOST) -> DataFrame:
@@ -355,7 +362,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, bits: int = 1024, radius:
     roots = components(edges)
     # the smallest id of a component, by root; then by fingerprint
     named = C.written(roots.join(firsts, F.col("node") == F.col("fp")).select("node", "root", "first"))
-    least = named.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "r")
+    # a table of its own, so that the plan can split the join by roots of very many fingerprints
+    least = C.written(named.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "r"))
     named = named.join(least, F.col("root") == F.col("r")).select("node", "least")
     groups = C.written(firsts.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("least", "first").alias("group")))
     # one join, straight from two tables: the plan splits fingerprints that very many documents have
@@ -383,7 +391,7 @@ def _marks(shingle: int, bits: int):
                 fp.append(fingerprint(h, bits).astype(">u8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(fp, pa.binary())], ["key", "id", "node", "n", "fp"])
 
-    return run
+    return C.lean(run)
 
 
 def alike(sets: list[np.ndarray], sides: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -443,7 +451,7 @@ def _verify(shingle: int, similarity: float):
                 sets.append(np.unique(shingle_hashes(b"" if (t := text.as_buffer()) is None else t.to_pybytes(), shingle)))
         yield from done()
 
-    return run
+    return C.lean(run)
 
 
 def near_duplicates(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 1024, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
@@ -469,7 +477,7 @@ def near_duplicates(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_
     # the members of each component of candidates, with their texts; large components in pairs of parts
     held = C.written(firsts.join(roots.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("node", "n", F.col("place.key").alias("k"), F.coalesce("root", "fp").alias("comp")))
     several = held.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).where("sets > 1")
-    several = several.select(F.col("comp").alias("c"), F.ceil(F.greatest(F.col("sets") / SETS, F.col("all") / SHINGLES, F.lit(1))).cast("int").alias("parts"))
+    several = C.written(several.select(F.col("comp").alias("c"), F.ceil(F.greatest(F.col("sets") / SETS, F.col("all") / SHINGLES, F.lit(1))).cast("int").alias("parts")))
     held = C.written(held.join(several, F.col("comp") == F.col("c")).select("k", "node", "comp", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
@@ -486,5 +494,6 @@ def near_duplicates(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's fingerprints and components of all documents: 64 bits of 4-word shingles, links at 4 bits."""
     found = simhash_groups(C.table(spark, sf_dir, "documents"), shingle=4, bits=64, radius=4, repeats=True)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("group").alias("component_id"))
