@@ -1,26 +1,34 @@
 """Mixture-controlled packing: deficit round-robin over source queues, with the deficits carried through all windows.
 
-Every source is a queue of its documents' tokens, S_i of T tokens. A window of L tokens owes queue i its share
-q_i = L * S_i / T. After n windows the queue has had c_i(n) tokens; the deficit n * q_i - c_i(n) is what round-robin
-carries to the next window, and serving window n + 1 pays it down to under one token again. With cumulative shares
-A_i(n) = floor(n * L * (S_1 + ... + S_i) / T), the queues' turns c_i(n) = A_i(n) - A_(i-1)(n) follow from n alone, so
-the deficits carry across windows, partitions and machines without any of them waiting for another: a task needs a
-document's place in its queue, which is a prefix sum, and the table of queue sizes. Every window is full; the tokens
-left after the last one are cut to lengths that are powers of two, so nothing is padded.
-
-A source with less than one token a window cannot be in every window: those share one queue (if all of them together
-have less than that, the largest queue), in the order of their rows. So there are at most L queues.
+Every source is a queue of its documents' tokens with a target weight w_i; its share of the tokens if none is given, which
+is the one mixture that every window can have. A window of L tokens gives queue i the quantum q_i = L * w_i / W, W the
+weight of the queues that have tokens left, and the queue's deficit, what it was owed before and did not get, is added;
+it is served whole tokens, and what it is still owed, under one token, is its deficit for the next window. A queue that
+runs dry leaves the round, and the others share the windows from there on. Between two such points a queue has had
+floor(x * (w_1 + ... + w_i) / W) - floor(x * (w_1 + ... + w_(i-1)) / W) of the x tokens served since the first of them:
+what all queues are owed comes to whole tokens, and each window is full. So deficits after any window follow from its
+number and the queues' sizes, and are carried across windows, partitions and machines without any of them waiting for
+another: a task needs a document's place in its queue, which is a prefix sum, and the table of queues. The tokens left
+after the last full window are cut to lengths that are powers of two, so nothing is padded.
+
+A source with less than one token a window can't be in every window: those share one queue, the joint one, in which they take
+turns by a round of their own, in windows of TURN tokens: so each has pieces of a size, spread over the whole. Sources
+with less than 1/L of that queue take one lane of it, in the order of their rows. So there are L queues and L lanes at
+most.
 
 Tokens are read from the tokenizer's file by a word cache in front of its ranks, which gives the ids of the tokenizers
 library (tested), and by that library itself for texts that hold a special token.
 
 Defined cases: a null text is empty: a document of its end alone; a null source is a source; rows that share a doc_id
-are documents of their own; an empty table gives no rows.
+are documents of their own, repeated rows too; a text of any length is cut over as many sequences as it needs, and held by
+one worker with its ids; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import sys
 import zlib
 from array import array
@@ -34,8 +42,10 @@ from pyspark.sql import functions as F
 from harvestry.llm import common as C
 
 LENGTH = 1024
+#: Tokens of the joint queue in which small sources take turns once.
+TURN = 1 << 20
 #: Words whose ids a task remembers.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class Ids:
@@ -45,11 +55,10 @@ class Ids:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         import public_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -72,6 +81,12 @@ class Ids:
 
         self.words = Words()
 
+    @functools.cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def plain(self, text: str) -> bytes:
         return array("H", self.enc.encode_ordinary(text)).tobytes()
 
@@ -115,76 +130,134 @@ def _tokenize(path: str):
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([part] * n, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 2 for x in out], pa.int64()), pa.array(out, pa.binary())], ["id", "source", "part", "local", "n", "ids"])
 
-    return run
+    return C.lean(run)
 
 
 class Schedule:
-    """Windows and offsets of the tokens of queues, from the queues' sizes."""
+    """Windows and offsets of the tokens of queues, from the queues' sizes and weights (whole numbers)."""
 
-    def __init__(self, sizes: list[int], length: int):
+    def __init__(self, sizes: list[int], length: int, weights: list[int] | None = None):
         self.length, self.total = length, sum(sizes)
-        self.ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
         self.full = self.total // length
         self.tail = self.total - self.full * length
+        left, had, at = list(sizes), [0] * len(sizes), 0
+        #: Where a phase begins; tokens of queues up to i by then; cumulative weights in the phase.
+        self.starts: list[int] = []
+        self.bases: list[list[int]] = []
+        self.weights: list[list[int]] = []
+        while at < self.total:
+            active = [w if n else 0 for w, n in zip(weights or sizes, left, strict=True)]
+            if not any(active):  # queues without a weight come when all others are dry
+                active = left
+            up, every = list(itertools.accumulate(active)), sum(active)
+            self.starts.append(at)
+            self.bases.append(list(itertools.accumulate(had)))
+            self.weights.append(up)
+            m = min(n * every // w for n, w in zip(left, active, strict=True) if w)  # until the first runs dry
+            for i, (lo, hi) in enumerate(itertools.pairwise([0, *up])):
+                n = m * hi // every - m * lo // every
+                had[i], left[i] = had[i] + n, left[i] - n
+            at += m
 
     def edge(self, i: int, n: int) -> int:
         """Tokens of queues up to i in the first n windows."""
-        if i < 0:
+        x = min(n * self.length, self.total)
+        if i < 0 or not x:
             return 0
-        return self.ends[i] if n > self.full else n * self.length * self.ends[i] // self.total
+        k = bisect.bisect_left(self.starts, x) - 1 if len(self.starts) > 1 else 0
+        up = self.weights[k]
+        return self.bases[k][i] + (x - self.starts[k]) * up[i] // up[-1]
 
     def served(self, i: int, n: int) -> int:
         return self.edge(i, n) - self.edge(i - 1, n)
 
-    def pieces(self, i: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(first token, length, sequence, offset) of tokens start to start + n of queue i."""
-        own = self.ends[i] - (self.ends[i - 1] if i else 0)
-        w = max(0, min(self.full, start * self.total // (own * self.length)) - 1)
-        while self.served(i, w + 1) <= start:
-            w += 1
-        at = start
-        while at < start + n:
-            had, have = self.served(i, w), self.served(i, w + 1)
-            upto = min(have, start + n)
+    def deficit(self, i: int, n: int) -> float:
+        """What queue i is owed after n windows, since the last queue ran dry, beyond what it had."""
+        x = min(n * self.length, self.total)
+        k = max(0, bisect.bisect_left(self.starts, x) - 1)
+        up, base = self.weights[k], self.bases[k]
+        own = lambda xs: xs[i] - (xs[i - 1] if i else 0)
+        return (x - self.starts[k]) * own(up) / up[-1] - (self.served(i, n) - own(base))
+
+    def runs(self, i: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """(first token, length, window, offset) of tokens start to start + n of queue i; what is left over is a window too."""
+        w, high = 0, self.full
+        while w < high:  # the window that has the first of them
+            mid = (w + high) // 2
+            if self.served(i, mid + 1) <= start:
+                w = mid + 1
+            else:
+                high = mid
+        at, end = start, start + n
+        low, top = self.edge(i - 1, w), self.edge(i, w)
+        while at < end:
+            next_low, next_top = self.edge(i - 1, w + 1), self.edge(i, w + 1)
+            upto = min(next_top - next_low, end)
             if upto > at:
-                offset = self.edge(i - 1, w + 1) - self.edge(i - 1, w) + at - had
-                if w < self.full:
-                    yield at - start, upto - at, w, offset
-                else:
-                    yield from self._tail(at - start, upto - at, offset)
+                yield at - start, upto - at, w, next_low - low + at - (top - low)
                 at = upto
-            w += 1
+            low, top, w = next_low, next_top, w + 1
 
-    def _tail(self, first: int, n: int, offset: int) -> Iterator[tuple[int, int, int, int]]:
-        begin, sequence = 0, self.full
-        for bit in range(self.tail.bit_length() - 1, -1, -1):
-            if size := self.tail & 1 << bit:
-                lo, hi = max(offset, begin), min(offset + n, begin + size)
-                if hi > lo:
-                    yield first + lo - offset, hi - lo, sequence, lo - begin
-                begin, sequence = begin + size, sequence + 1
-
-
-def _cut(sizes: list[int], length: int):
+    def pieces(self, i: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """As runs(), but (first token, length, sequence, offset): what is left over is cut to powers of two."""
+        for first, size, w, offset in self.runs(i, start, n):
+            if w < self.full:
+                yield first, size, w, offset
+                continue
+            begin, sequence = 0, self.full
+            for bit in range(self.tail.bit_length() - 1, -1, -1):
+                if part := self.tail & 1 << bit:
+                    lo, hi = max(offset, begin), min(offset + size, begin + part)
+                    if hi > lo:
+                        yield first + lo - offset, hi - lo, sequence, lo - begin
+                    begin, sequence = begin + part, sequence + 1
+
+
+class Plan:
+    """The schedule of the queues, and that of the joint queue's lanes, which are numbered after the queues before it."""
+
+    def __init__(self, queues: list[int], lanes: list[int], length: int, weights: list[int] | None = None, turn: int = TURN):
+        self.own, self.turn = len(queues), turn
+        self.outer = Schedule([*queues, sum(lanes)], length, weights)
+        self.inner = Schedule(lanes, turn)
+
+    def pieces(self, lane: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        if lane < self.own:
+            yield from self.outer.pieces(lane, start, n)
+            return
+        for first, size, w, offset in self.inner.runs(lane - self.own, start, n):
+            for more, k, sequence, at in self.outer.pieces(self.own, w * self.turn + offset, size):
+                yield first + more, k, sequence, at
+
+
+def _cut(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Schedule(sizes, length)
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for big in batches:
             for at in range(0, big.num_rows, 2000):
                 b = big.slice(at, 2000)
                 out: list[tuple] = []
-                for doc, queue, place, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                for doc, lane, place, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                     ids = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                     n = len(ids) // 4
-                    out += [(doc, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n, q, o) for s, k, q, o in plan.pieces(queue, place, n)]
+                    out += [(doc, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n, q, o) for s, k, q, o in plan.pieces(lane, place, n)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
 
-    return run
+    return C.lean(run)
+
+
+def _by_name(rows: list) -> list[tuple[str | None, int]]:
+    return sorted(((r["source"], r["size"]) for r in rows), key=lambda x: (x[0] is None, (x[0] or "").encode()))
+
 
+def pack(docs: DataFrame, path: str, length: int = LENGTH, weights: dict[str | None, int] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Pieces of documents: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. path: of the tokenizer's file.
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Pieces of documents: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. path: of the tokenizer's file."""
+    weights: target proportions of sources, as whole numbers, for as long as they last; each must come to one token a
+    window at least. Sources without one follow when those are used up. None: every window has the sources' own shares.
+    """
+    shape = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").cast("string").alias("source"))
     tokens = C.written(docs.mapInArrow(_tokenize(path), "id long, source string, part int, local long, n long, ids binary"))
     # prefix sums: each task of _tokenize() has numbered its own tokens by source; a row for each source and task is left
@@ -192,21 +265,24 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id
     by_source = C.written(sums.groupBy("source").agg(F.sum("n").alias("size")))
     total = by_source.agg(F.sum("size")).first()[0]
     if not total:
-        return tokens.sparkSession.createDataFrame([], "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    large = F.col("size") * length >= total
-    queues = [(r["source"], r["size"]) for r in by_source.where(large).collect()]  # `length` rows at most
-    queues.sort(key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    small = by_source.where(~large).agg(F.sum("size")).first()[0] or 0
-    sizes = [n for _, n in queues]
-    common = len(sizes)
-    if small * length >= total or not sizes:
-        sizes.append(small)
-    elif small:
-        common = max(range(len(sizes)), key=sizes.__getitem__)
-        sizes[common] += small
-    named = tokens.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(queues)], "of string, queue int")
+        return tokens.sparkSession.createDataFrame([], shape)
+    if weights is None:
+        large = F.col("size") * length >= total
+    else:
+        if len(weights) > length or any(int(w) != w or w * length < sum(weights.values()) for w in weights.values()):
+            raise ValueError("weights are whole numbers that come to one token a window at least")
+        large = F.exists(F.array(*(F.lit(s).cast("string") for s in weights)), lambda s: s.eqNullSafe(F.col("source")))
+    queues = _by_name(by_source.where(large).collect())  # `length` rows at most
+    small = by_source.where(~large)
+    joint = small.agg(F.sum("size")).first()[0] or 0
+    lanes = _by_name(small.where(F.col("size") * length >= joint).collect())  # again
+    rest = joint - sum(n for _, n in lanes)
+    plan = Plan([n for _, n in queues], [*(n for _, n in lanes), rest], length, None if weights is None else [*(int(weights[s]) for s, _ in queues), 0])
+    common = len(queues) + len(lanes)
+    named = tokens.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate([*queues, *lanes])], "of string, queue int")
     from pyspark.sql import Window
 
+    # the list has 2 * `length` rows at most
     sums = sums.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("queue", F.coalesce("queue", F.lit(common))).drop("of")
     # where each task's tokens begin: a sum by blocks of 1,000 tasks, then within, so that no task sorts all of them
     sums = sums.withColumn("block", F.floor(F.col("part") / 1000).cast("int"))
@@ -216,10 +292,11 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0)))
     bases = C.written(sums.join(blocks, (F.col("queue") == F.col("q")) & (F.col("block") == F.col("b"))).select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", (F.col("base") + F.col("before")).alias("base")))
     placed = tokens.join(bases, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("id", "queue", (F.col("base") + F.col("local")).alias("place"), "ids")
-    return placed.mapInArrow(_cut(sizes, length), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(_cut(plan), shape)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's packing of all documents, each window in the sources' own shares, which lets it use up every token."""
     import public_tokenizers
 
     return pack(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
