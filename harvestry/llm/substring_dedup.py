@@ -146,7 +146,7 @@ def _send(window: int, buckets: int, groups: int):
         if ids:
             yield out()
 
-    return run
+    return C.lean(run)
 
 
 def _count(groups: int):
@@ -171,7 +171,7 @@ def _count(groups: int):
         if len(later):
             yield _rows(list(_back(docs[later], starts[later], key[later], groups)))
 
-    return run
+    return C.lean(run)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -233,7 +233,7 @@ def _apply(window: int, whole_words: bool, names: list[str], out_schema: pa.Sche
             rest = rows.column(5)
             yield pa.RecordBatch.from_arrays([*(rest.field(i) for i in range(len(names))), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=out_schema)
 
-    return run
+    return C.lean(run)
 
 
 def _shrink(groups: int):
@@ -244,7 +244,7 @@ def _shrink(groups: int):
             z = pa.array([None if (t := x.as_buffer()) is None else pack.compress(t) for x in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(_group(np.asarray(ids), groups), pa.int32()), ids, z, b.column(2)], ["part", "id", "z", "rest"])
 
-    return run
+    return C.lean(run)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", whole_words: bool = True) -> DataFrame:
@@ -258,7 +258,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     names = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_text")]
     rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
     key, text = F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")
-    n = C.parts(docs)
+    n = C.parts(docs, 8.0)
     found = docs.select(key, text).mapInArrow(_send(window, n, n), _WAY_SQL).repartitionById(n, F.col("part")).mapInArrow(_count(n), _WAY_SQL)
     full = docs.select(key, text, F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
     shape = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("z", T.BinaryType()), full.schema["rest"]])
