@@ -14,8 +14,8 @@ def num_transactions(tx: DataFrame) -> int:
     return tx.count()
 
 
-def item_counts(tx: DataFrame) -> DataFrame:
-    return tx.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("count"))
+def item_counts(tx: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return tx.select(*by, F.explode("items").alias("item")).groupBy(*by, "item").agg(F.count("*").alias("count"))
 
 
 def item_support(tx: DataFrame) -> DataFrame:
@@ -23,17 +23,20 @@ def item_support(tx: DataFrame) -> DataFrame:
     return item_counts(tx).withColumn("support", F.col("count") / F.lit(float(max(n, 1))))
 
 
-def pair_counts(tx: DataFrame) -> DataFrame:
-    """(a, b, count) of the unordered pairs, a < b, made within each transaction: the only shuffle is of partial sums."""
-    items = F.sort_array(F.array_distinct("items"))
-    pairs = tx.select(items.alias("i")).select(F.explode(F.flatten(F.transform("i", lambda a, k: F.transform(F.slice("i", k + 2, F.size("i")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("count"))
+def pair_counts(tx: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, count) of the unordered pairs, a < b, made within each transaction: the only shuffle is of partial sums.
+
+    The left items are exploded first, so a row never holds more than one item's pairs.
+    """
+    left = tx.select(*by, F.sort_array(F.array_distinct("items")).alias("i")).select(*by, "i", F.posexplode("i").alias("k", "a"))
+    pairs = left.select(*by, "a", F.explode(F.slice("i", F.col("k") + 2, F.size("i"))).alias("b"))
+    return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("count"))
 
 
-def cooccurrence(tx: DataFrame) -> DataFrame:
-    """The symmetric graph: pairs in both directions."""
-    p = pair_counts(tx)
-    return p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "count"))
+def cooccurrence(tx: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The symmetric graph: pairs in both directions, made after they are counted."""
+    both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    return pair_counts(tx, by).select(*by, both.alias("p"), "count").select(*by, F.col("p.x").alias("a"), F.col("p.y").alias("b"), "count")
 
 
 def neighbours(tx: DataFrame) -> DataFrame:
@@ -123,22 +126,16 @@ def rank_entropy(now: DataFrame, stored: DataFrame) -> DataFrame:
     return d.agg((F.sum(F.abs(F.col("ra") - F.col("rb"))) / F.nullif(n * (n - 1) + F.floor(n * n / 4), F.lit(0))).alias("entropy"))
 
 
-def discriminativeness(tx: DataFrame) -> DataFrame:
-    """(item, disc): half the sum, over the items that it occurs with, of the information that either gives of the other."""
-    n = float(max(1, tx.count()))
-    sup = item_counts(tx).select("item", (F.col("count") / n).alias("s"))
-    g = cooccurrence(tx).select("a", "b", (F.col("count") / n).alias("xy"))
-    g = g.join(sup.select(F.col("item").alias("a"), F.col("s").alias("x")), "a").join(sup.select(F.col("item").alias("b"), F.col("s").alias("y")), "b")
+def discriminativeness(tx: DataFrame, by: tuple[str, ...] = (), n: int | None = None) -> DataFrame:
+    """(item, disc): half the sum, over the items that it occurs with, of the information that either gives of the other.
+
+    by: columns of groups of n transactions each.
+    """
+    n = float(max(1, tx.count() if n is None else n))
+    sup = item_counts(tx, by).select(*by, "item", (F.col("count") / n).alias("s"))
+    g = cooccurrence(tx, by).select(*by, "a", "b", (F.col("count") / n).alias("xy"))
+    g = g.join(sup.select(*by, F.col("item").alias("a"), F.col("s").alias("x")), [*by, "a"]).join(sup.select(*by, F.col("item").alias("b"), F.col("s").alias("y")), [*by, "b"])
     xy, x, y, eps = F.col("xy"), F.col("x"), F.col("y"), 1e-6
     each = -xy * F.log(xy / x) - (x - xy) * F.log((x - xy + eps) / x) - xy * F.log(xy / y) - (y - xy) * F.log((y - xy + eps) / y)
-    found = g.groupBy(F.col("a").alias("item")).agg((F.sum(each) / 2).alias("disc"))
-    return sup.select("item").join(found, "item", "left").select("item", F.coalesce("disc", F.lit(0.0)).alias("disc"))
-
-
-def keep_discriminative(tx: DataFrame, disc: DataFrame, min_disc: float | None) -> DataFrame:
-    """Transactions without the items whose value is not above min_disc; all of them if that is None."""
-    if min_disc is None:
-        return tx
-    good = disc.where(F.col("disc") > min_disc).select("item")
-    kept = tx.select("tid", F.posexplode("items").alias("pos", "item")).join(good, "item", "left_semi")
-    return kept.groupBy("tid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items"))
+    found = g.groupBy(*by, F.col("a").alias("item")).agg((F.sum(each) / 2).alias("disc"))
+    return sup.select(*by, "item").join(found, [*by, "item"], "left").select(*by, "item", F.coalesce("disc", F.lit(0.0)).alias("disc"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from harvestry.sources.scratch import written
 
 #: Keeps an itemset of a level? Columns items, count, n are at hand.
 Filter = Callable[[DataFrame], DataFrame]
+#: Transactions of a block that one task mines.
+IN_MEMORY = 1 << 18
 
 
 def least_count(n: int, min_support: float) -> int:
@@ -73,15 +76,21 @@ def closed(cand: DataFrame, level: DataFrame, size: int) -> DataFrame:
     return there.groupBy("items").count().where(F.col("count") == size).select("items")
 
 
-def apriori(tx: DataFrame, keep: Filter, max_size: int | None = None) -> DataFrame:
+def ready(tx: DataFrame, *more: str) -> DataFrame:
+    """tx's distinct items as a table of its own: what makes them is done once, and a file knows its number of rows."""
+    return written(tx.select(*more, F.array_distinct("items").alias("items")))
+
+
+def apriori(tx: DataFrame, keep: Filter, max_size: int | None = None, is_ready: bool = False) -> DataFrame:
     """(items, count) level by level. Transactions stay as (tid, item) rows of the items that can still occur.
 
     Pairs are counted in each transaction. From three items on, the transactions that hold a set of the level before
     are at hand as (tid, set); a candidate is a set and a later item, so its transactions are an equi-join away.
     """
+    tx = tx if is_ready else ready(tx, "tid")
     n = tx.count()
     tag = lambda df: df.withColumn("n", F.lit(n))
-    distinct = counting.exploded(tx.withColumn("items", F.array_distinct("items")))
+    distinct = counting.exploded(tx)
     # levels are small against the transactions: kept in memory, made again if an executor is lost
     one = keep(tag(distinct.groupBy(F.array("item").alias("items")).agg(F.count("*").alias("count")))).select("items", "count").persist()
     levels, level, size = [one], one, 2
@@ -112,40 +121,63 @@ def apriori(tx: DataFrame, keep: Filter, max_size: int | None = None) -> DataFra
     return out
 
 
-def fpgrowth(tx: DataFrame, min_support_: float) -> DataFrame:
-    """(items, count) by pyspark.ml's parallel FP-growth."""
-    n = tx.count()
-    if not n:
-        return tx.sparkSession.createDataFrame([], "items array<string>, count long")
-    k = max(1, least_count(n, min_support_))
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (k - 0.5) / n), numPartitions=int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(tx.select(F.array_distinct("items").alias("items")))
+def fpgrowth(tx: DataFrame, min_support_: float, n: int | None = None, is_ready: bool = False) -> DataFrame:
+    """(items, count) by pyspark.ml's parallel FP-growth. n: what support is a share of, if not the rows of tx."""
+    spark = tx.sparkSession
+    tx = tx if is_ready else ready(tx)  # the model reads transactions several times
+    rows = tx.count()
+    if not rows:
+        return spark.createDataFrame([], "items array<string>, count long")
+    k = max(1, least_count(rows if n is None else n, min_support_))
+    if k > rows:
+        return spark.createDataFrame([], "items array<string>, count long")
+    # between k - 1 and k, so that rounding can't move the smallest count
+    model = FPGrowth(itemsCol="items", minSupport=(k - 0.5) / rows, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(tx)
     return model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").alias("count"))
 
 
-def frequent_itemsets(tx: DataFrame, min_support_: float, engine: str = "fpgrowth", max_size: int | None = None) -> DataFrame:
-    """(items, size, count, support) with support >= min_support_."""
-    n = tx.count()
+def frequent_itemsets(tx: DataFrame, min_support_: float, engine: str = "fpgrowth", max_size: int | None = None, n: int | None = None) -> DataFrame:
+    """(items, size, count, support) with support >= min_support_. n: what support is a share of, if not the rows of tx."""
+    if engine not in ("fpgrowth", "apriori"):
+        raise ValueError("engine is fpgrowth or apriori")
+    tx = ready(tx, *(["tid"] if engine == "apriori" else []))
+    n = tx.count() if n is None else n
     if engine == "fpgrowth":
-        sets = fpgrowth(tx, min_support_)
+        sets = fpgrowth(tx, min_support_, n, is_ready=True)
         sets = sets if max_size is None else sets.where(F.size("items") <= max_size)
-    elif engine == "apriori":
-        sets = apriori(tx, min_support(min_support_), max_size)
     else:
-        raise ValueError("engine is fpgrowth or apriori")
+        sets = apriori(tx, min_count(max(1, least_count(n, min_support_))), max_size, is_ready=True)
     return sets.select("items", F.size("items").alias("size"), "count", (F.col("count") / F.lit(float(max(n, 1)))).alias("support"))
 
 
-def block_itemsets(tx: DataFrame, block: int, min_support_: float, max_size: int | None = None) -> DataFrame:
-    """(block, items, count) of every whole block of `block` transactions, all blocks in the same jobs.
-
-    An item of a block is made an item of its own, so that one level-wise run mines all blocks: transactions of
-    different blocks have no item in common. A last block that is not full is left out.
-    """
+def whole_blocks(tx: DataFrame, block: int) -> DataFrame:
+    """tx with column block, without the transactions of a last block that is not full."""
     b = tx.withColumn("block", F.floor(F.col("tid") / block))
     full = b.groupBy("block").count().where(F.col("count") == block).select("block")
-    b = b.join(full, "block", "left_semi")
+    return b.join(full, "block", "left_semi")
+
+
+def block_itemsets(tx: DataFrame, block: int, min_support_: float, max_size: int | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(block, items, count) of every whole block of `block` transactions, all blocks in one job.
+
+    A block is one task's, which mines it depth first over bit sets. Blocks of more than IN_MEMORY transactions are mined
+    level by level in one distributed run instead: an item of a block is made an item of its own, so that transactions
+    of different blocks have no item in common. prepare: what becomes of the transactions (block, tid, items) of whole
+    blocks before they are mined; support stays a share of the whole block.
+    """
+    b = whole_blocks(tx, block)
+    b = b if prepare is None else prepare(b)
+    least = max(1, least_count(block, min_support_))
+    if block <= IN_MEMORY:
+        from harvestry.streaming.blocks import mine_block
+
+        def of_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            found = mine_block(rows["items"].tolist(), least, max_size)
+            return pd.DataFrame({"block": [key[0]] * len(found), "items": [i for i, _ in found], "count": [n for _, n in found]})
+
+        return b.select("block", "items").groupBy("block").applyInPandas(of_block, "block long, items array<string>, count long")
     marked = b.select("tid", F.transform("items", lambda x: F.concat(F.col("block").cast("string"), F.lit("|"), x)).alias("items"))
-    sets = apriori(marked, min_count(max(1, least_count(block, min_support_))), max_size)
+    sets = apriori(marked, min_count(least), max_size)
     return sets.select(F.substring_index(F.element_at("items", 1), "|", 1).cast("long").alias("block"), F.sort_array(F.transform("items", lambda x: F.regexp_replace(x, r"^\d+\|", ""))).alias("items"), "count")
 
 

@@ -23,14 +23,23 @@ def ranks(tx: DataFrame, order: str = "frequency") -> DataFrame:
 
 def ranks_by(values: DataFrame, value: str, tx: DataFrame) -> DataFrame:
     """(item, rank) by a column of (item, value), largest first, unknown items last; ties by first occurrence."""
-    seen = counting.first_seen(tx).join(values.select("item", value), "item", "left")
+    seen = counting.first_seen(tx).drop("count").join(values.select("item", value), "item", "left")
     return seen.select("item", F.row_number().over(Window.orderBy(F.col(value).desc_nulls_last(), "tid", "pos")).alias("rank"))
 
 
-def ordered(tx: DataFrame, rank: DataFrame) -> DataFrame:
-    """Transactions with their items in the order of ranks; items without one come last, by name."""
-    e = tx.select("tid", F.explode("items").alias("item")).join(rank, "item", "left")
-    return e.groupBy("tid").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("rank", F.lit((1 << 31) - 1)).alias("r"), F.col("item").alias("i")))), lambda x: x["i"]).alias("items"))
+def ranks_every(tx: DataFrame, at: int, n: int, every: int) -> DataFrame:
+    """(item, rank) of n transactions from tid `at` on, sorted anew after every so many of them: by their frequency up to
+    the last time, then, and before any, by first occurrence."""
+    upto = n // every * every if every else 0
+    return ranks_by(counting.item_counts(tx.where(F.col("tid") < at + upto)), "count", tx) if upto else ranks(tx, "first_seen")
+
+
+def ordered(tx: DataFrame, rank: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Transactions with their items in the order of ranks; items without one come last, by name. by: columns that tell
+    orders apart."""
+    e = tx.select(*by, "tid", F.explode("items").alias("item")).join(rank, [*by, "item"], "left")
+    place = F.struct(F.coalesce("rank", F.lit((1 << 31) - 1)).alias("r"), F.col("item").alias("i"))
+    return e.groupBy(*by, "tid").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["i"]).alias("items"))
 
 
 def prefixes(ordered_tx: DataFrame, weight: Column | None = None, prune_depth: int | None = None) -> DataFrame:
@@ -80,9 +89,25 @@ def has_single_path(nodes: DataFrame) -> bool:
     return r["wide"] == 1 and r["deep"] >= 2
 
 
-def patterns_in_path(path: list[str]) -> list[list[str]]:
-    """All non-empty subsets of a chain."""
-    return [[x for i, x in enumerate(path) if m >> i & 1] for m in range(1, 1 << len(path))]
+def patterns_in_path(paths: DataFrame, most: int = 24) -> DataFrame:
+    """(items, count) of all non-empty subsets of chains (path, count), counts of equal ones added up. Chains of more than
+    `most` items have too many and raise."""
+    n = F.size("path")
+    masks = F.when(n > most, F.raise_error(F.lit(f"a path of more than {most} items has too many subsets")).cast("bigint")).otherwise(F.expr("shiftleft(1L, size(path))") - 1)
+    each = paths.where(n > 0).select("path", "count", F.explode(F.sequence(F.lit(1).cast("long"), masks)).alias("m"))
+    return each.groupBy(F.expr("filter(path, (x, i) -> (shiftright(m, i) & 1) = 1)").alias("items")).agg(F.sum("count").alias("count"))
+
+
+def to_vector(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(item, depth, count) of the nodes, the root first as item null at depth 0, to a depth if one is given."""
+    root = nodes.sparkSession.createDataFrame([(None, 0, 0)], "item string, depth int, count long")
+    some = nodes if max_depth is None else nodes.where(F.col("depth") <= max_depth)
+    return root.unionByName(some.select("item", F.col("depth").cast("int"), "count"))
+
+
+def frequencies(nodes: DataFrame) -> DataFrame:
+    """Lines `item count` of the tree's frequency table."""
+    return header(nodes).select(F.concat_ws(" ", "item", F.col("count").cast("string")).alias("line"))
 
 
 def conditional_base(nodes: DataFrame, item: str) -> DataFrame:
@@ -119,18 +144,24 @@ def reweigh(old: DataFrame, new: DataFrame, purge: float | None = None, decay: f
     return out if purge is None else out.where(F.col("weight") > purge)
 
 
-def connected(conn: set[tuple[str, str]], freq: dict[str, int], a: str, b: str) -> bool:
+def steps_from(conn: set[tuple[str, str]]) -> dict[str, list[str]]:
+    """What each item leads to directly."""
+    out: dict[str, list[str]] = {}
+    for a, b in conn:
+        out.setdefault(a, []).append(b)
+    return out
+
+
+def connected(steps: dict[str, list[str]], freq: dict[str, int], a: str, b: str) -> bool:
     """Whether a leads to b, directly or through items as frequent as b."""
-    seen, front = {a}, [a]
+    seen, front, same = {a}, [a], freq.get(b, 0)
     while front:
-        x = front.pop()
-        for p, c in conn:
-            if p == x and c not in seen:
-                if c == b:
-                    return True
-                if freq.get(c, 0) == freq.get(b, 0):
-                    seen.add(c)
-                    front.append(c)
+        for c in steps.get(front.pop(), ()):
+            if c == b:
+                return True
+            if c not in seen and freq.get(c, 0) == same:
+                seen.add(c)
+                front.append(c)
     return False
 
 
@@ -235,7 +266,7 @@ def instability_exact(paths: DataFrame, left: dict[str, int], right: dict[str, i
     Items that have gone on the right join every left path; a left step that the connections conn don't allow, directly
     or through items as frequent as its end, is taken out. Tables of items only; the paths stay where they are.
     """
-    last = 1 << 31
+    last, steps = 1 << 31, steps_from(conn)
 
     def of(batches):
         import pandas as pd
@@ -250,7 +281,7 @@ def instability_exact(paths: DataFrame, left: dict[str, int], right: dict[str, i
                 for x in lhs[1:]:
                     step = (kept[-1], x)
                     if step not in known:
-                        known[step] = connected(conn, freq, *step)
+                        known[step] = connected(steps, freq, *step)
                     if known[step]:
                         kept.append(x)
                 rhs = sorted(path, key=lambda x: (right.get(x, last), x))

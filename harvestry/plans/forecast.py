@@ -9,16 +9,17 @@ from harvestry.functions import stats
 from harvestry.operators import counting
 
 
-def half_counts(tx: DataFrame, block: int) -> DataFrame:
-    """(block, item, initial, previous, now): counts in a block at its start, its middle and its end; whole blocks only."""
+def half_counts(tx: DataFrame, block: int, middle: int | None = None) -> DataFrame:
+    """(block, item, initial, previous, now): counts in a block at its start, its middle (after so many transactions; half
+    of them if not given) and its end; whole blocks only."""
     e = counting.exploded(tx).withColumn("block", F.floor(F.col("tid") / block))
     full = tx.groupBy(F.floor(F.col("tid") / block).alias("block")).count().where(F.col("count") == block).select("block")
-    half = F.pmod("tid", F.lit(block)) < block // 2
+    half = F.pmod("tid", F.lit(block)) < (block // 2 if middle is None else middle)
     return e.join(full, "block", "left_semi").groupBy("block", "item").agg(F.lit(0).cast("long").alias("initial"), F.sum(half.cast("long")).alias("previous"), F.count("*").alias("now"))
 
 
-def linear(tx: DataFrame, block: int) -> DataFrame:
-    return half_counts(tx, block).select("block", "item", stats.linear_forecast(F.col("initial"), F.col("previous"), F.col("now"), block).alias("forecast"))
+def linear(tx: DataFrame, block: int, middle: int | None = None) -> DataFrame:
+    return half_counts(tx, block, middle).select("block", "item", stats.linear_forecast(F.col("initial"), F.col("previous"), F.col("now"), block).alias("forecast"))
 
 
 def kernel(tx: DataFrame, block: int, points: int) -> DataFrame:

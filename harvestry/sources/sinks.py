@@ -39,11 +39,14 @@ def close_log() -> None:
         log.removeHandler(h)
 
 
-def write_itemsets(itemsets: DataFrame, path: str, count_only: bool = False) -> int:
-    """Lines `a b c,support`. count_only writes nothing. Returns how many there are."""
+def write_itemsets(itemsets: DataFrame, path: str, count_only: bool = False, min_support: float = 0.0) -> int:
+    """Lines `a b c,support`. count_only writes nothing. Returns how many there are; logs a warning if some are below
+    min_support."""
     if not count_only:
         support = F.col("support") if "support" in itemsets.columns else F.lit(0)
         itemsets.select(F.concat_ws(",", F.array_join(F.sort_array("items"), " "), support.cast("string"))).write.mode("overwrite").text(path)
+        if min_support and "support" in itemsets.columns and (poor := itemsets.where(F.col("support") < min_support).count()):
+            log.warning("%d itemsets are below the support of %g", poor, min_support)
     return itemsets.count()
 
 

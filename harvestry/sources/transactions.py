@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harvestry.sources.scratch import written
+
 _ENDS = r"^[ \t\r\n]+|[ \t\r\n]+$"
 
 
@@ -46,19 +50,39 @@ def parse_lines(spark: SparkSession, lines: list[str], mode: str = "strict") ->
     return df.select("tid", items_of_line(F.col("line"), mode).alias("items")).where("items IS NOT NULL")
 
 
-def number_transactions(tx: DataFrame, buckets: int = 1024) -> DataFrame:
-    """tx with tid 0, 1, 2, ... in the order of tid: counts by range of tid, a sum over the ranges, and a rank in each."""
+def load(tx: DataFrame, on_start: Callable[[], None] | None = None, on_load: Callable[[DataFrame], None] | None = None, on_end: Callable[[DataFrame], None] | None = None, batch: int | None = None, on_unload: Callable[[DataFrame], None] | None = None, window: int | None = None) -> DataFrame:
+    """Materialises transactions and tells listeners: on_start before, on_load for each batch of so many transactions (all
+    of them if not given) as a DataFrame, on_unload for those that each batch pushes out of a window of the last so many,
+    and on_end with all of them. What listeners keep is theirs; transactions stay where they are."""
+    if on_start:
+        on_start()
+    tx = written(tx.select("tid", "items"))
+    if on_load or on_unload:
+        last = tx.agg(F.max("tid")).first()[0]
+        step = batch or (0 if last is None else last + 1)
+        for at in range(0, 0 if last is None else last + 1, max(1, step)):
+            if on_unload and window is not None:
+                out = tx.where(F.col("tid").between(max(0, at - window), at + step - window - 1))
+                if at + step > window:
+                    on_unload(out)
+            if on_load:
+                on_load(tx.where(F.col("tid").between(at, at + step - 1)))
+    if on_end:
+        on_end(tx)
+    return tx
+
+
+def number_transactions(tx: DataFrame) -> DataFrame:
+    """tx with tid 0, 1, 2, ... in the order of tid. Rows are sorted by ranges of tid that hold about as many each; a sum over
+    the ranges, whose number is that of the partitions, gives each its first number."""
     from pyspark.sql import Window
 
-    low, high = tx.agg(F.min("tid"), F.max("tid")).first()
-    if low is None:
-        return tx
-    width = max(1, -(-(high - low + 1) // buckets))
-    b = tx.withColumn("__b", F.floor((F.col("tid") - low) / width))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = b.groupBy("__b").count().select(F.col("__b").alias("__o"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))  # `buckets` rows
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy("tid")) - 1
-    return b.withColumn("__r", rank).join(F.broadcast(base), F.col("__b") == F.col("__o")).withColumn("tid", F.col("__base") + F.col("__r")).drop("__b", "__o", "__r", "__base")
+    rows = written(tx.withColumnRenamed("tid", "__tid").repartitionByRange("__tid").withColumn("__p", F.spark_partition_id()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("__p").count().select(F.col("__p").alias("__o"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy("__tid")) - 1
+    out = rows.withColumn("__r", rank).join(F.broadcast(base), F.col("__p") == F.col("__o"))  # a row for each partition
+    return out.select((F.col("__base") + F.col("__r")).alias("tid"), *(c for c in tx.columns if c != "tid"))
 
 
 def from_long(rows: DataFrame, key: str, item: str) -> DataFrame:

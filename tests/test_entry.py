@@ -14,6 +14,16 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_packages(monkeypatch):
+    """If the optional operators can't be imported, the library's own queries are there."""
+    import sys
+
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    for name in [m for m in sys.modules if m.startswith("harvestry.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.SQL) <= set(entry.oracle_sql())
+
+
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()

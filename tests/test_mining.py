@@ -1,6 +1,7 @@
 """Itemsets and rules against brute force, and the engines against each other."""
 
 import itertools
+import math
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -112,7 +113,86 @@ def test_modes(spark, mode):
     assert r.itemsets.count() == 13 and r.rules.count() == 6
 
 
+def test_pruned_trees(spark):
+    """Nodes at the depth and below do not count; support stays a share of all transactions."""
+    chain = T.parse_lines(spark, ["a,b,c", "a,b", "a"])
+    sets = lambda lines, depth, mode="fptree", support=0.2: as_dict(modes.run(lines, modes.Options(mode, min_support=support, prune_depth=depth, **({"sort_interval": 2} if mode == "cptree" else {}))).itemsets)
+    assert len(sets(chain, None)) == 7
+    assert sets(chain, 2) == {("a",): 3} and sets(chain, 3) == {("a",): 3, ("b",): 2, ("a", "b"): 2}
+    tx = T.parse_lines(spark, FP_TEST)
+    rows = [x.split(",") for x in FP_TEST]
+    count, seen = {}, {}
+    for r in rows:
+        for x in r:
+            count[x] = count.get(x, 0) + 1
+            seen.setdefault(x, len(seen))
+    cut = [sorted(r, key=lambda x: (-count[x], seen[x]))[:2] for r in rows]
+    assert sets(tx, 3) == brute(cut, 0.2) != brute(rows, 0.2)
+    assert sets(tx, 3, "cantree") == brute([sorted(r, key=seen.get)[:2] for r in rows], 0.2)
+    early = {x: sum(x in r for r in rows[:8]) for x in count}  # sorted after every second of nine
+    assert sets(tx, 3, "cptree") == brute([sorted(r, key=lambda x: (-early[x], seen[x]))[:2] for r in rows], 0.2)
+
+
+def test_disctree(spark):
+    """Items under a discriminativeness are left out, block by block, and transactions that lose all still count."""
+    rows = ([["a", "b"]] * 2 + [["a"]] * 2 + [["c"]] * 4 + [["b", "c"]] * 2) * 2
+    tx = T.make_transactions(spark, rows)
+
+    def value(block, x):
+        s = lambda *i: sum(set(i) <= set(r) for r in block) / len(block)
+        out = 0.0
+        for y in {y for r in block for y in r} - {x}:
+            if (xy := s(x, y)) > 0:
+                sx, sy = s(x), s(y)
+                out += -xy * math.log(xy / sx) - (sx - xy) * math.log((sx - xy + 1e-6) / sx) - xy * math.log(xy / sy) - (sy - xy) * math.log((sy - xy + 1e-6) / sy)
+        return out / 2
+
+    block = rows[:10]
+    values = {x: value(block, x) for x in "abc"}
+    limit = sorted(values.values())[0] + 1e-9
+    kept = [[x for x in r if values[x] > limit] for r in block]
+    assert [] in kept
+    o = modes.Options("disctree", min_support=0.25, block_size=10, sort_interval=10, prune_depth=9, min_disc=limit)
+    got = modes.run(tx, o).itemsets.collect()
+    assert {b: {tuple(r["items"]): r["count"] for r in got if r["block"] == b} for b in (0, 1)} == {b: brute(kept, 0.25) for b in (0, 1)}
+    o.min_disc, o.prune_depth = None, 2
+    first = {x: -values[x] for x in values}
+    cut = [sorted(r, key=lambda x: (first[x], "abc".index(x)))[:1] for r in block]
+    assert as_dict(modes.run(tx, o).itemsets.where("block = 1").drop("block")) == brute(cut, 0.25)
+
+
+@pytest.mark.parametrize("mode", ["cptree", "spotree", "stream", "cptreeStream", "spotreeStream", "ExtrapStream"])
+def test_modes_agree(spark, mode):
+    """Without a depth all trees give the same sets; with one they still run, and report their sorts and orders."""
+    rows = [x.split(",") for x in FP_TEST]
+    more = {"cptree": {"sort_interval": 2}, "cptreeStream": {"sort_interval": 2}, "spotree": {"entropy_threshold": 0.1}, "spotreeStream": {"entropy_threshold": 0.1}, "ExtrapStream": {"kernel_points": 2}}.get(mode, {})
+    got = modes.run(T.parse_lines(spark, FP_TEST), modes.Options(mode, min_support=0.2, block_size=4, **more))
+    if mode in modes.BLOCKS:
+        assert {b: {tuple(r["items"]): r["count"] for r in got.itemsets.collect() if r["block"] == b} for b in (0, 1)} == {0: brute(rows[:4], 0.2), 1: brute(rows[4:8], 0.2)}
+        assert got.order.where("block = 0").count() == len({x for r in rows[:4] for x in r})
+    else:
+        assert as_dict(got.itemsets) == brute(rows, 0.2) and got.order.count() == 5
+    if mode.startswith("cptree"):
+        assert [r["tid"] for r in got.events.orderBy("tid").collect()] == [1, 3, 5, 7]
+    few = modes.run(T.parse_lines(spark, FP_TEST), modes.Options(mode, min_support=0.2, block_size=4, prune_depth=2, **more)).itemsets
+    assert {len(r["items"]) for r in few.collect()} == {1}
+
+
+def test_large_blocks(spark, monkeypatch):
+    """Blocks beyond one task's memory are mined level by level, with the same result."""
+    monkeypatch.setattr(mining, "IN_MEMORY", 1)
+    rows = [["a", "b"], ["a"], ["b", "c"], ["a", "b", "c"], ["c"], ["a", "c"], ["b"]]
+    got = {}
+    for r in mining.block_itemsets(T.make_transactions(spark, rows), 3, 0.5).collect():
+        got.setdefault(r["block"], {})[tuple(r["items"])] = r["count"]
+    assert got == {0: brute(rows[:3], 0.5), 1: brute(rows[3:6], 0.5)}
+
+
 def test_options_are_checked():
+    assert modes.Options("SSDD", 0.1, tree_drift=0.2, prune_depth=3).check()
+    for bad in (modes.Options("fptree", 0.1, sort_interval=5), modes.Options("apriori", 0.1, prune_depth=3), modes.Options("fptree", 0.1, prune_depth=1), modes.Options("stream", 0.1, delta=0.5)):
+        with pytest.raises(ValueError):
+            bad.check()
     for bad in (modes.Options("nope", 0.1), modes.Options("apriori"), modes.Options("cptree", 0.1), modes.Options("SSDD", 0.1), modes.Options("DBDD", 0.1, delta=2.0)):
         with pytest.raises(ValueError):
             bad.check()

@@ -32,6 +32,39 @@ def test_pivot_and_runs(spark):
     assert [r["items"] for r in T.from_consecutive(rows, "o", "key", "item").orderBy("tid").collect()] == [["b", "a"], ["c"], ["d"]]
 
 
+def test_listeners(spark):
+    tx, heard = T.make_transactions(spark, [["a"], ["b"], ["c"], ["d"], ["e"]]), []
+    tids = lambda df: sorted(r["tid"] for r in df.collect())
+    done = T.load(tx, lambda: heard.append("start"), lambda b: heard.append(("in", tids(b))), lambda b: heard.append(("end", tids(b))), 2, lambda b: heard.append(("out", tids(b))), 3)
+    assert heard == ["start", ("in", [0, 1]), ("out", [0]), ("in", [2, 3]), ("out", [1, 2]), ("in", [4]), ("end", [0, 1, 2, 3, 4])]
+    assert tids(T.load(tx.limit(0), on_load=heard.append)) == [] and done.count() == 5
+
+
+def test_numbers_of_many_rows(spark):
+    tx = spark.range(5000).selectExpr("id * id * 7 AS tid", "array(cast(id AS string)) AS items").repartition(9)
+    got = {r["items"][0]: r["tid"] for r in T.number_transactions(tx).collect()}
+    assert got == {str(i): i for i in range(5000)}
+    assert T.number_transactions(tx.limit(0)).count() == 0
+
+
+def test_warning_below_support(spark, tmp_path, caplog):
+    sets = spark.createDataFrame([(["a"], 0.1), (["b"], 0.6)], "items array<string>, support double")
+    with caplog.at_level("WARNING", "harvestry"):
+        assert sinks.write_itemsets(sets, str(tmp_path / "s"), min_support=0.5) == 2
+    assert "1 itemsets are below" in caplog.text
+
+
+def test_cli_writes_runs(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\nb,c\na,b\na\nc\nc\na\n")
+    assert cli.main(["-m", "stream", "-i", str(tmp_path / "t.csv"), "-o", str(tmp_path / "out"), "-minsup", "0.6", "-blockSize", "3"]) == 0
+    read = lambda run: {(tuple(r["items"]), round(r["support"], 3)) for r in sinks.read_itemsets(spark, str(tmp_path / f"out.itemsets.0.6-{run}.csv")).collect()}
+    assert read(1) == {(("a",), 0.667), (("b",), 1.0), (("a", "b"), 0.667)} and read(2) == {(("c",), 0.667)}
+    with pytest.raises(SystemExit):
+        cli.main(["-m", "ExtrapStream", "-i", "x", "-o", "y", "-minsup", "0.6", "-use-kernel-regressiony"])
+    with pytest.raises(ValueError):
+        cli.main(["-m", "apriori", "-i", "x", "-o", "y", "-minsup", "0.6", "-tree-prune-depth", "3"])
+
+
 def test_round_trip(spark, tmp_path):
     sets = mining.frequent_itemsets(T.parse_lines(spark, ["a,b", "b,c", "b"]), 0.3)
     assert sinks.write_itemsets(sets, str(tmp_path / "s")) == sets.count()

@@ -15,6 +15,8 @@ def test_tree(nodes):
     assert trie.node_count(nodes) == 11
     assert {tuple(r["path"]) for r in trie.leaves(nodes).collect()} == {("i1", "i3"), ("i2", "i1", "i3", "i5"), ("i2", "i1", "i4"), ("i2", "i1", "i5"), ("i2", "i3"), ("i2", "i4")}
     assert not trie.has_single_path(nodes)
+    assert [r["depth"] for r in trie.to_vector(nodes, 0).collect()] == [0] and trie.to_vector(nodes).count() == 11
+    assert {r["line"] for r in trie.frequencies(nodes).collect()} == {"i1 6", "i2 7", "i3 6", "i4 2", "i5 2"}
     assert "i2/i1" in "".join(r["line"] for r in trie.graphviz(nodes).collect())
 
 
@@ -38,7 +40,11 @@ def test_removal(spark):
 def test_single_path(spark):
     chain = trie.tree(T.parse_lines(spark, ["a,b,c", "a,b"]))
     assert trie.has_single_path(chain)
-    assert len(trie.patterns_in_path(["a", "b", "c"])) == 7
+    path = spark.createDataFrame([(["a", "b", "c"], 2), (["a", "d"], 1)], "path array<string>, count long")
+    got = {tuple(r["items"]): r["count"] for r in trie.patterns_in_path(path).collect()}
+    assert got == {("a",): 3, ("b",): 2, ("c",): 2, ("d",): 1, ("a", "b"): 2, ("a", "c"): 2, ("b", "c"): 2, ("a", "b", "c"): 2, ("a", "d"): 1}
+    with pytest.raises(Exception, match="too many subsets"):
+        trie.patterns_in_path(path, 2).collect()
 
 
 def test_edit_distance(spark):
@@ -62,7 +68,7 @@ def test_reachable(spark):
     got = {(r["a"], r["b"]) for r in trie.reachable(conn, freq).collect()}
     f = {"a": 3, "b": 2, "c": 2, "d": 1}
     pairs = {("a", "b"), ("b", "c"), ("c", "d")}
-    assert got == {(x, y) for x in "abcd" for y in "abcd" if x != y and trie.connected(pairs, f, x, y)}
+    assert got == {(x, y) for x in "abcd" for y in "abcd" if x != y and trie.connected(trie.steps_from(pairs), f, x, y)}
 
 
 def test_exact_instability(spark):
