@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from harvestry.functions import itemsets, stats
 from harvestry.operators import counting, mining, trie
 from harvestry.plans import forecast, modes
+from harvestry.sources import sinks
 from harvestry.sources import transactions as T
+from harvestry.sources.scratch import shared_path, written
 from harvestry.streaming import drift
 
 QUERIES: dict = {}
@@ -23,7 +25,10 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql:
             views = [f"{v} AS ({text})" for v, text in T.VIEWS_SQL.items() if f"{v}" in sql.replace("stream_", "")]
-            SQL[f.__name__] = f"WITH {', '.join(views)}{', ' if sql.lstrip().upper().startswith('WITH ') else ' '}{sql.lstrip()[5:] if sql.lstrip().upper().startswith('WITH ') else sql}" if views else sql
+            first, _, rest = sql.lstrip().partition(" ")
+            head = "WITH RECURSIVE" if rest.startswith("RECURSIVE ") else "WITH"
+            rest = f", {rest.removeprefix('RECURSIVE ')}" if first == "WITH" else f" {sql}"
+            SQL[f.__name__] = f"{head} {', '.join(views)}{rest}" if views else sql
         return f
 
     return add
@@ -77,7 +82,7 @@ def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH e AS (SELECT * FROM basket), n AS (SELECT count(DISTINCT tid) AS n FROM e) SELECT x.item AS a, y.item AS b, count(*)::BIGINT AS count FROM e x JOIN e y ON x.tid = y.tid AND x.item < y.item GROUP BY 1, 2 HAVING count(*) / (SELECT n FROM n)::DOUBLE >= 0.01")
 def frequent_pairs(spark: SparkSession, d: str) -> DataFrame:
-    tx = T.basket(spark, d)
+    tx = written(T.basket(spark, d))
     return counting.pair_counts(tx).where(F.col("count") / F.lit(float(tx.count())) >= 0.01)
 
 
@@ -108,9 +113,10 @@ r AS (SELECT count, [i[j + 1] for j in range(0, size) if (m >> j) & 1 = 1] AS x,
 c AS (SELECT array_to_string(x, ' ') AS antecedent, array_to_string(y, ' ') AS consequent, r.count, (r.count / (SELECT n FROM n)::DOUBLE) / (sa.count / (SELECT n FROM n)::DOUBLE) AS confidence, sb.count AS cb FROM r JOIN sets sa ON sa.items = array_to_string(x, ' ') JOIN sets sb ON sb.items = array_to_string(y, ' '))
 SELECT antecedent, consequent, count::BIGINT AS count, round(confidence, 6) AS confidence, round(confidence / (cb / (SELECT n FROM n)::DOUBLE), 6) AS lift FROM c WHERE confidence > 0.3 AND confidence / (cb / (SELECT n FROM n)::DOUBLE) > 0.5""")
 def rules_all_splits(spark: SparkSession, d: str) -> DataFrame:
-    tx = T.userday(spark, d)
-    sets = mining.frequent_itemsets(tx, 0.02, max_size=4)
-    r = mining.association_rules(sets, tx.count(), 0.3, 0.5)
+    tx = written(T.userday(spark, d))
+    n = tx.count()
+    sets = mining.frequent_itemsets(tx, 0.02, max_size=4, n=n)
+    r = mining.association_rules(sets, n, 0.3, 0.5)
     return r.select(F.array_join("antecedent", " ").alias("antecedent"), F.array_join("consequent", " ").alias("consequent"), "count", F.round("confidence", 6).alias("confidence"), F.round("lift", 6).alias("lift"))
 
 
@@ -418,8 +424,9 @@ def frequent_all_apriori_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rules_all_splits_all(spark: SparkSession, d: str) -> DataFrame:
-    tx = T.userday(spark, d)
-    return _rules(mining.association_rules(mining.frequent_itemsets(tx, 0.02), tx.count(), 0.3, 0.5))
+    tx = written(T.userday(spark, d))
+    n = tx.count()
+    return _rules(mining.association_rules(mining.frequent_itemsets(tx, 0.02, n=n), n, 0.3, 0.5))
 
 
 def block_itemsets_all(spark: SparkSession, d: str) -> DataFrame:
@@ -445,12 +452,10 @@ def ddtree_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ssdd_checkpoints(spark: SparkSession, d: str) -> DataFrame:
-    tx = T.stream(spark, d)
     w = drift.Window(1000)
-    for end in range(999, tx.count(), 1000):
-        w.add(end)
-        w.arrange()
-    return spark.createDataFrame(w.points, "first long, last long")
+    for end in range(999, T.stream(spark, d).count(), 1000):
+        w = w.passed(end, adaptive=True)
+    return spark.createDataFrame(list(w.points), "first long, last long")
 
 
 def spo_resorts(spark: SparkSession, d: str) -> DataFrame:
@@ -458,12 +463,214 @@ def spo_resorts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def minabssup_mode(spark: SparkSession, d: str) -> DataFrame:
-    return modes.run(T.userday(spark, d), modes.Options("minabssup")).rules
+    """Sets that occur more often than by chance: attributes of line items, numbered by their order, part and line."""
+    lines = T.table(spark, d, "lineitem")
+    tid = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    items = F.array(F.concat(F.lit("flag="), "l_returnflag"), F.concat(F.lit("status="), "l_linestatus"), F.concat(F.lit("year="), F.year("l_shipdate").cast("string")))
+    tx = lines.select(tid.alias("tid"), items.alias("items"))
+    return _text(modes.run(tx, modes.Options("minabssup")).itemsets)
+
+
+# Trees cut at a depth, and modes that order items in their own way.
+
+SLICED_SETS = """f1 AS (SELECT {by} i[1] AS items, 1 AS size, count(*) AS count FROM s1 GROUP BY ALL),
+f2 AS (SELECT {by} i[1] || ' ' || i[2] AS items, 2 AS size, count(*) AS count FROM s2 GROUP BY ALL),
+f3 AS (SELECT {by} i[1] || ' ' || i[2] || ' ' || i[3] AS items, 3 AS size, count(*) AS count FROM s3 GROUP BY ALL),
+sets AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3)"""
+#: Subsets of at most three items, from sorted lists.
+SUBSETS = """s1 AS (SELECT {by} [unnest(items)] AS i FROM t),
+s2 AS (SELECT {by} [items[a], items[b]] AS i FROM t, unnest(range(1, len(items))) AS x(a), unnest(range(2, len(items) + 1)) AS y(b) WHERE a < b),
+s3 AS (SELECT {by} [items[a], items[b], items[c]] AS i FROM t, unnest(range(1, len(items) - 1)) AS x(a), unnest(range(2, len(items))) AS y(b), unnest(range(3, len(items) + 1)) AS z(c) WHERE a < b AND b < c)"""
 
 
+@query(f"""WITH {RANK_SQL.format(v='userday')}, t AS (SELECT list_sort(items[:3]) AS items FROM o), {SUBSETS.format(by='')}, {SLICED_SETS.format(by='')}
+SELECT items, size::INT AS size, count::BIGINT AS count FROM sets WHERE count / (SELECT count(*) FROM o)::DOUBLE >= 0.02""")
+def fptree_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return _text(modes.run(T.userday(spark, d), modes.Options("fptree", min_support=0.02, prune_depth=4)).itemsets)
+
+
+@query(f"""WITH a AS (SELECT item, min(tid * 1000 + pos) AS seen FROM (SELECT tid, item, row_number() OVER (PARTITION BY tid ORDER BY item) AS pos FROM userday) GROUP BY item),
+t AS (SELECT list_sort((list(item ORDER BY seen))[:2]) AS items FROM userday JOIN a USING (item) GROUP BY tid), {SUBSETS.format(by='')}, {SLICED_SETS.format(by='')}
+SELECT items, size::INT AS size, count::BIGINT AS count FROM sets WHERE count / (SELECT count(*) FROM t)::DOUBLE >= 0.02""")
+def cantree_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return _text(modes.run(T.userday(spark, d), modes.Options("cantree", min_support=0.02, prune_depth=3)).itemsets)
+
+
+IN_BLOCKS = f"""e AS (SELECT tid, tid // {BLOCK} AS block, item, row_number() OVER (PARTITION BY tid ORDER BY item) AS pos FROM stream WHERE tid // {BLOCK} IN (SELECT tid // {BLOCK} FROM (SELECT DISTINCT tid FROM stream) GROUP BY 1 HAVING count(*) = {BLOCK})),
+seen AS (SELECT block, item, min(tid * 1000 + pos) AS seen, count(*) AS now FROM e GROUP BY ALL)"""
+MINED = f"""{SUBSETS.format(by='block,')}, {SLICED_SETS.format(by='block,')} SELECT block, items, size::INT AS size, count::BIGINT AS count FROM sets WHERE count / {BLOCK}.0::DOUBLE >= 0.02"""
+
+
+@query(f"""WITH {IN_BLOCKS}, n AS (SELECT {BLOCK}.0::DOUBLE AS n), s AS (SELECT block, item, count(*) / any_value(n) AS s FROM e, n GROUP BY ALL),
+g AS (SELECT x.block, x.item AS a, y.item AS b, count(*) / any_value(n) AS xy FROM e x JOIN e y ON x.tid = y.tid AND x.item <> y.item, n GROUP BY ALL),
+v AS (SELECT g.block, a AS item, sum(-xy * ln(xy / x.s) - (x.s - xy) * ln((x.s - xy + 1e-6) / x.s) - xy * ln(xy / y.s) - (y.s - xy) * ln((y.s - xy + 1e-6) / y.s)) / 2 AS value FROM g JOIN s x ON x.block = g.block AND x.item = a JOIN s y ON y.block = g.block AND y.item = b GROUP BY ALL),
+t AS (SELECT block, list_sort((list(item ORDER BY value DESC, seen))[:3]) AS items FROM e JOIN v USING (block, item) JOIN seen USING (block, item) WHERE value > 0.6 GROUP BY block, tid), {MINED}""")
 def disctree_mode(spark: SparkSession, d: str) -> DataFrame:
-    return _text(modes.run(T.userday(spark, d), modes.Options("disctree", min_support=0.02, sort_interval=1000, prune_depth=4, min_disc=0.0)).itemsets)
+    o = modes.Options("disctree", min_support=0.02, block_size=BLOCK, sort_interval=BLOCK, prune_depth=4, min_disc=0.6)
+    return _text(modes.run(T.stream(spark, d), o).itemsets, "block")
+
+
+@query(f"""WITH {IN_BLOCKS}, w AS (SELECT b.block, ((b.block + 1) * {BLOCK}) // 1000 * 1000 AS upto FROM (SELECT DISTINCT block FROM e) b),
+v AS (SELECT w.block, s.item, count(*) AS value FROM w JOIN stream s ON s.tid < upto AND s.tid >= upto - {BLOCK} GROUP BY ALL),
+t AS (SELECT e.block, list_sort((list(e.item ORDER BY value DESC NULLS LAST, seen))[:2]) AS items FROM e JOIN seen ON seen.block = e.block AND seen.item = e.item LEFT JOIN v ON v.block = e.block AND v.item = e.item GROUP BY e.block, tid), {MINED}""")
+def cptree_stream_pruned(spark: SparkSession, d: str) -> DataFrame:
+    o = modes.Options("cptreeStream", min_support=0.02, block_size=BLOCK, sort_interval=1000, prune_depth=3)
+    return _text(modes.run(T.stream(spark, d), o).itemsets, "block")
+
+
+@query(f"""WITH {IN_BLOCKS}, c AS (SELECT block, item, count(*) FILTER (tid % {BLOCK} < {BLOCK // 2}) AS prev, count(*) AS now FROM e GROUP BY ALL),
+v AS (SELECT block, item, CASE WHEN sqrt(ln(1000) / (2 * {BLOCK})) < 2 * ((now - prev) - prev) / {BLOCK}.0::DOUBLE THEN 2 * now / {BLOCK}.0::DOUBLE ELSE (now + 2 * (now - prev) - prev) / {BLOCK}.0::DOUBLE END AS value FROM c),
+t AS (SELECT block, list_sort((list(item ORDER BY value DESC, seen))[:2]) AS items FROM e JOIN v USING (block, item) JOIN seen USING (block, item) GROUP BY block, tid), {MINED}""")
+def extrap_stream_pruned(spark: SparkSession, d: str) -> DataFrame:
+    o = modes.Options("ExtrapStream", min_support=0.02, block_size=BLOCK, prune_depth=3)
+    return _text(modes.run(T.stream(spark, d), o).itemsets, "block")
+
+
+@query(f"""WITH {IN_BLOCKS} SELECT block, item, row_number() OVER (PARTITION BY block ORDER BY now DESC, seen)::INT AS rank FROM seen""")
+def spotree_stream_order(spark: SparkSession, d: str) -> DataFrame:
+    return modes.run(T.stream(spark, d), modes.Options("spotreeStream", min_support=0.5, block_size=BLOCK, entropy_threshold=0.02)).order
+
+
+@query("""WITH p AS (SELECT tid, tid // 500 AS part, item, row_number() OVER (PARTITION BY tid ORDER BY item) AS pos FROM stream),
+s AS (SELECT item, min(part) AS first, min(tid * 1000 + pos) AS seen FROM p GROUP BY item), k AS (SELECT unnest(range(0, (SELECT max(part) + 1 FROM p))) AS part),
+c AS (SELECT k.part, s.item, any_value(first) AS first, any_value(seen) AS seen, count(*) AS n FROM k JOIN s ON first <= k.part JOIN p ON p.item = s.item AND p.part <= k.part GROUP BY ALL)
+SELECT part, item, row_number() OVER (PARTITION BY part ORDER BY n DESC, seen)::INT AS rank, first FROM c""")
+def running_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return modes.running_ranks(T.stream(spark, d), 500)
+
+
+# Trees: removal, other orders, chains, conditional trees, connections.
+
+SECOND = "userday WHERE tid % 2 = 1"
+
+
+@query(f"""WITH r AS (SELECT item, row_number() OVER (ORDER BY count(*) DESC, min(tid * 1000 + pos)) AS rank FROM (SELECT tid, item, row_number() OVER (PARTITION BY tid ORDER BY item) AS pos FROM userday) GROUP BY item),
+o AS (SELECT tid, list(item ORDER BY rank) AS items FROM (SELECT * FROM {SECOND}) JOIN r USING (item) GROUP BY tid)
+SELECT array_to_string(items[:k], ' ') AS prefix, k::INT AS depth, count(*)::BIGINT AS count FROM o, unnest(range(1, len(items) + 1)) AS t(k) GROUP BY ALL""")
+def trie_removal(spark: SparkSession, d: str) -> DataFrame:
+    """All transactions come, those of even number go again."""
+    tx = T.userday(spark, d)
+    o = trie.ordered(tx, trie.ranks(tx))
+    both = o.withColumn("w", F.lit(1)).unionByName(o.where("tid % 2 = 0").withColumn("w", F.lit(-1)))
+    return trie.prefixes(both, F.col("w")).select(F.array_join("prefix", " ").alias("prefix"), "depth", "count")
+
+
+@query(f"""WITH r AS (SELECT item, row_number() OVER (ORDER BY n DESC NULLS LAST, seen) AS rank FROM (SELECT item, min(tid * 1000 + pos) AS seen FROM (SELECT tid, item, row_number() OVER (PARTITION BY tid ORDER BY item) AS pos FROM userday) GROUP BY item) LEFT JOIN (SELECT item, count(*) AS n FROM {SECOND} GROUP BY item) USING (item)),
+o AS (SELECT tid, list(item ORDER BY rank) AS items FROM userday JOIN r USING (item) GROUP BY tid)
+SELECT array_to_string(items[:k], ' ') AS prefix, k::INT AS depth, count(*)::BIGINT AS count FROM o, unnest(range(1, len(items) + 1)) AS t(k) GROUP BY ALL""")
+def trie_resorted(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of all transactions, sorted by the frequencies of some."""
+    tx = T.userday(spark, d)
+    rank = trie.ranks_by(counting.item_counts(tx.where("tid % 2 = 1")), "count", tx)
+    return trie.prefixes(trie.ordered(tx, rank)).select(F.array_join("prefix", " ").alias("prefix"), "depth", "count")
+
+
+@query(f"""WITH {RANK_SQL.format(v='userday')}, w AS (SELECT depth, count(*) AS wide FROM nodes GROUP BY depth), c AS (SELECT left(prefix, len(prefix) - len(item) - 1) AS p, prefix FROM nodes)
+SELECT 'all' AS tree, max(wide) = 1 AND count(*) >= 2 AS single FROM w UNION ALL
+SELECT 'first', (SELECT count(*) FROM (SELECT item FROM userday WHERE tid = (SELECT min(tid) FROM (SELECT tid FROM userday GROUP BY tid HAVING count(*) > 1)))) >= 2""")
+def single_path(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the tree of all transactions, and that of the first with two items and more, is a chain."""
+    tx = T.userday(spark, d)
+    first = tx.where(F.size("items") > 1).agg(F.min_by("items", "tid").alias("items")).select(F.lit(0).alias("tid"), "items")
+    return spark.createDataFrame([("all", trie.has_single_path(trie.tree(tx))), ("first", trie.has_single_path(trie.tree(first)))], "tree string, single boolean")
+
+
+@query(f"""WITH {RANK_SQL.format(v='userday')}, b AS (SELECT row_number() OVER () AS id, string_split(left(prefix, len(prefix) - len(item) - 1), ' ') AS i, count FROM nodes WHERE item = 'purchase' AND depth > 1),
+x AS (SELECT id, count, k AS pos, i[k] AS item FROM b, unnest(range(1, len(i) + 1)) AS t(k)),
+f AS (SELECT item, sum(count) AS f, min(pos) AS p FROM x GROUP BY item HAVING sum(count) >= 100), k AS (SELECT item, row_number() OVER (ORDER BY f DESC, p, item) AS rank FROM f),
+c AS (SELECT id, any_value(count) AS count, list(item ORDER BY rank) AS items FROM x JOIN k USING (item) GROUP BY id)
+SELECT array_to_string(items[:k], ' ') AS prefix, k::INT AS depth, sum(count)::BIGINT AS count FROM c, unnest(range(1, len(items) + 1)) AS t(k) GROUP BY ALL""")
+def conditional_tree(spark: SparkSession, d: str) -> DataFrame:
+    return trie.conditional_tree(trie.tree(T.userday(spark, d)), "purchase", 100).select(F.array_join("prefix", " ").alias("prefix"), "depth", "count")
+
+
+@query(f"""WITH {RANK_SQL.format(v='userday')}, l AS (SELECT string_split(prefix, ' ') AS i, count FROM nodes x WHERE NOT EXISTS (SELECT 1 FROM nodes y WHERE y.depth = x.depth + 1 AND starts_with(y.prefix, x.prefix || ' '))),
+m AS (SELECT i, count, unnest(range(1, 1 << len(i))) AS m FROM l)
+SELECT array_to_string([i[j + 1] for j in range(0, len(i)) if (m >> j) & 1 = 1], ' ') AS items, sum(count)::BIGINT AS count FROM m GROUP BY 1""")
+def path_patterns(spark: SparkSession, d: str) -> DataFrame:
+    found = trie.patterns_in_path(trie.leaves(trie.tree(T.userday(spark, d))))
+    return found.select(F.array_join("items", " ").alias("items"), "count")
+
+
+@query(f"""WITH RECURSIVE {RANK_SQL.format(v='userday')}, g AS (SELECT DISTINCT p[-2] AS a, p[-1] AS b FROM (SELECT string_split(prefix, ' ') AS p FROM nodes WHERE depth > 1)),
+f AS (SELECT item, count(*) // 400 AS f FROM userday GROUP BY item),
+reach AS (SELECT a, b FROM g UNION SELECT reach.a, g.b FROM reach JOIN g ON g.a = reach.b JOIN f x ON x.item = reach.b JOIN f y ON y.item = g.b WHERE x.f = y.f)
+SELECT a, b FROM reach""")
+def reachable_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Connections, also through items as frequent as their end, to the next 400."""
+    tx = T.userday(spark, d)
+    coarse = counting.item_counts(tx).withColumn("count", F.floor(F.col("count") / 400))
+    return trie.reachable(trie.edges(trie.tree(tx)), coarse)
+
+
+@query(f"""WITH {RANK_SQL.format(v='userday')} SELECT CASE WHEN item IS NULL THEN 'root' ELSE item END AS item, depth, count FROM (SELECT item, depth, count FROM nodes WHERE depth <= 2 UNION ALL SELECT NULL, 0, 0)""")
+def tree_vector(spark: SparkSession, d: str) -> DataFrame:
+    return trie.to_vector(trie.tree(T.userday(spark, d)), 2).withColumn("item", F.coalesce("item", F.lit("root")))
+
+
+# What the detectors measure at a checkpoint, by their own code.
+
+CUTS = f"""p AS (SELECT tid, item, row_number() OVER (PARTITION BY tid ORDER BY item) AS pos FROM stream WHERE tid < (SELECT (max(tid) + 1) // 1000 * 1000 FROM stream)),
+n AS (SELECT max(tid) + 1 AS n FROM p), k AS (SELECT k::INT AS k, (k + 1) * 1000 - 1 AS cut FROM n, unnest(range(0, n // 1000)) AS t(k)),
+s AS (SELECT item, min(tid * 1000 + pos) AS seen, count(*) AS c FROM p GROUP BY item),
+h AS (SELECT k, cut, s.item, any_value(seen) AS seen, any_value(c) AS c, count(*) FILTER (p.tid <= cut) AS had FROM k, s JOIN p ON p.item = s.item GROUP BY k, cut, s.item),
+r AS (SELECT k, item, row_number() OVER (PARTITION BY k ORDER BY had DESC, seen) AS old, row_number() OVER (PARTITION BY k ORDER BY c DESC, seen) AS now FROM h),
+x AS (SELECT k, tid, list(p.item ORDER BY now) AS a, list(p.item ORDER BY old) AS b FROM p JOIN r ON r.item = p.item GROUP BY k, tid),
+d AS (SELECT DISTINCT k, a, b FROM x),
+l AS (SELECT k, levenshtein(array_to_string([chr(19968 + list_position(a, z)::INT) for z in a], ''), array_to_string([chr(19968 + list_position(a, z)::INT) for z in b], '')) / len(a)::DOUBLE AS d FROM d),
+t AS (SELECT k, avg(d) AS tree, avg(d * d) AS squared FROM l GROUP BY k),
+m AS (SELECT h.k, avg((abs(c - had) > sqrt(1 / (1 / n::DOUBLE + 1 / 999.0::DOUBLE) / 2 * ln(4 * (n + 999) / 0.001)))::INT) AS table_, max(CASE WHEN n - cut - 1 > 4 THEN (abs(had / (cut + 1)::DOUBLE - (c - had) / (n - cut - 1)::DOUBLE) > sqrt(2 * (1 / (n - cut - 5)::DOUBLE + 1 / (cut - 3)::DOUBLE) * (c / n::DOUBLE) * (1 - c / n::DOUBLE) * ln(2 * ln(n) / 0.05)) + 2.0::DOUBLE / 3 * ln(2 * ln(n) / 0.05) * (1 / (n - cut - 5)::DOUBLE + 1 / (cut - 3)::DOUBLE))::INT ELSE 0 END) AS cut FROM h, n GROUP BY h.k)"""
+
+
+@query(f"WITH {CUTS} SELECT k, round(tree, 6) AS tree, round(squared, 6) AS squared, round(table_, 6) AS moved, m.cut = 1 AS apart FROM t JOIN m USING (k)")
+def checkpoint_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Every thousandth transaction a checkpoint, against the last: instability of the tree and of the table, and whether
+    some item is distributed otherwise."""
+    tx = T.stream(spark, d)
+    points = tuple((at, at + 999) for at in range(0, tx.count() - 999, 1000))
+    found = drift.Detector(tx, 1000).measure(0, [(points[-1][1], points)], tree=True, table=True, delta=0.05)
+    rows = [(k, round(m.tree, 6), round(m.squared, 6), round(m.table, 6), m.cut) for k, m in enumerate(found[points[-1][1]])]
+    return spark.createDataFrame(rows, "k int, tree double, squared double, moved double, apart boolean")
+
+
+# Reading and writing.
+
+
+@query("SELECT p_partkey AS tid, array_to_string(list_sort(list_distinct([trim(p_brand), 'size=' || p_size, 'band=' || (p_size // 10)])), ' ') AS items FROM part")
+def read_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with runs of delimiters, white space around items and repeated items, read as transactions."""
+    c = T.table(spark, d, "part")
+    band = F.concat(F.lit("band="), F.floor(F.col("p_size") / 10).cast("string"))
+    lines = c.select("p_partkey", F.concat(F.lit(" "), "p_brand", F.lit("\t,, size="), F.col("p_size").cast("string"), F.lit(" ,"), band, F.lit(",  "), "p_brand", F.lit(",\r")).alias("line"))
+    # a delimiter before the white space at the end would make an item of nothing: as the end of a line it is cut off
+    lines = lines.withColumn("line", F.regexp_replace("line", ",\r$", ""))
+    return lines.select(F.col("p_partkey").alias("tid"), F.array_join(F.sort_array(T.items_of_line(F.col("line"))), " ").alias("items"))
+
+
+@query("WITH o AS (SELECT tid, list_sort(list(item)) AS items FROM basket GROUP BY tid) SELECT row_number() OVER (ORDER BY tid) - 1 AS tid, array_to_string(items, ' ') AS items FROM o")
+def numbered_transactions(spark: SparkSession, d: str) -> DataFrame:
+    return T.number_transactions(T.basket(spark, d)).select("tid", F.array_join("items", " ").alias("items"))
+
+
+@query("""WITH r AS (SELECT event_id, event_type, user_id, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM events)
+SELECT min(event_id) AS tid, array_to_string(list(user_id::VARCHAR ORDER BY event_id), ' ') AS items FROM r GROUP BY event_type, run""")
+def consecutive_rows(spark: SparkSession, d: str) -> DataFrame:
+    found = T.from_consecutive(T.table(spark, d, "events"), "event_id", "event_type", "user_id")
+    return found.select("tid", F.array_join("items", " ").alias("items"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 1000")
+def first_thousand(spark: SparkSession, d: str) -> DataFrame:
+    return T.first_rows(T.table(spark, d, "events"), "event_id", 1).select("event_id", "user_id", "event_type")
+
+
+@query(f"WITH {LEVELS.format(v='userday', s=0.02)} SELECT items, round(count / (SELECT n FROM n)::DOUBLE, 6) AS support FROM sets")
+def itemset_files(spark: SparkSession, d: str) -> DataFrame:
+    """Itemsets written to a file, and read back."""
+    path = sinks.itemset_file(shared_path(spark), 0.02)
+    sinks.write_itemsets(mining.frequent_itemsets(T.userday(spark, d), 0.02, max_size=4), path)
+    return sinks.read_itemsets(spark, path).select(F.array_join("items", " ").alias("items"), F.round("support", 6).alias("support"))
 
 
-for f in (min_count_filter_all, frequent_all_apriori_all, rules_all_splits_all, block_itemsets_all, block_rules_all, ssdd_drift, dbdd_drift, ddtree_drift, ssdd_checkpoints, spo_resorts, minabssup_mode, disctree_mode):
+for f in (min_count_filter_all, frequent_all_apriori_all, rules_all_splits_all, block_itemsets_all, block_rules_all, ssdd_drift, dbdd_drift, ddtree_drift, ssdd_checkpoints, spo_resorts, minabssup_mode):
     QUERIES[f.__name__] = f
