@@ -13,7 +13,8 @@ Reading: sorted keys search the shards by bisection, read that directory's range
 block's range, and then the ranges of the records. A record is checked against its digest as it is read.
 
 Defined cases: a null html is an empty payload; a null url has the key ')'; null ids come last and refer to nothing of
-their own; rows that share the smallest id of a payload are all responses; an empty table gives no archive.
+their own; rows that share the smallest id of a payload are all responses; a payload of any length is one record, which
+a worker holds; an empty table gives no archive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -251,6 +252,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's records of all pages, written to archives and read back through the index."""
     pages = C.table(spark, sf_dir, "pages")
     archive = write_archive(pages)
     keys = keys_of(pages, "page_id", "url").distinct()
