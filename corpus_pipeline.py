@@ -42,29 +42,32 @@ def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; null and empty texts have none, rows count each, no label is asked of a row."""
     learned = language_id.learn(docs, F.col("doc_id"))
     return _back(language_id.identify(_aside(docs), learned).where(language_id.accepted()), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = C.written(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, a row keeps its number
+    """One row of each group of near duplicates: by row, whatever ids they have or share; texts without words are alike."""
+    rows = C.written(_aside(docs).withColumn("__row", F.monotonically_increasing_id()))  # written, a row keeps its number
     kept = C.written(simhash.near_duplicates(rows, "__row").select(F.col("key").alias("__kept")))
-    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
+    return _back(rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi"), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their texts without repeated passages, all else of them as it was; null texts become empty."""
     cut = substring_dedup.substring_dedup(_aside(docs), whole_words=False)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text"))
-    cut = cut.withColumn("text", F.coalesce(text, "kept_text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    cut = cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long"))
     return _back(cut, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows, not ids, are taken: those that share an id or have none have copies of their own."""
+    """Rows as often as the mix takes them: those that share an id or have none have copies of their own, empty ones none."""
     return mixing.repeated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows, each window in the shares that the mix has given the sources; null texts are an end alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
