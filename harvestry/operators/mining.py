@@ -1,4 +1,4 @@
-"""Frequent itemsets, level by level and by FP-growth, for all transactions or for every block of a stream at once."""
+"""Frequent itemsets, level by level and by growing patterns, for all transactions or for every block of a stream at once."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry.functions import stats
@@ -121,13 +121,11 @@ def apriori(tx: DataFrame, keep: Filter, max_size: int | None = None, is_ready:
     return out
 
 
-def fpgrowth(tx: DataFrame, min_support_: float, n: int | None = None, is_ready: bool = False) -> DataFrame:
+def mllib(tx: DataFrame, min_support_: float, n: int | None = None, is_ready: bool = False) -> DataFrame:
     """(items, count) by pyspark.ml's parallel FP-growth. n: what support is a share of, if not the rows of tx."""
     spark = tx.sparkSession
     tx = tx if is_ready else ready(tx)  # the model reads transactions several times
     rows = tx.count()
-    if not rows:
-        return spark.createDataFrame([], "items array<string>, count long")
     k = max(1, least_count(rows if n is None else n, min_support_))
     if k > rows:
         return spark.createDataFrame([], "items array<string>, count long")
@@ -136,14 +134,61 @@ def fpgrowth(tx: DataFrame, min_support_: float, n: int | None = None, is_ready:
     return model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").alias("count"))
 
 
+def weighted(tx: DataFrame, singles: DataFrame) -> DataFrame:
+    """(prefix, w): transactions as the lists of their items in singles (item, rank), in the order of ranks, equal ones
+    once with their number. What a tree of transactions shares, and no tree."""
+    sets = tx.groupBy(F.sort_array("items").alias("items")).agg(F.count("*").alias("w"))
+    kept = sets.select("items", "w", F.explode("items").alias("item")).join(singles.select("item", "rank"), "item").groupBy("items", "w")
+    lists = kept.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("prefix"))
+    return lists.groupBy("prefix").agg(F.sum("w").alias("w"))
+
+
+def fpgrowth(tx: DataFrame, min_support_: float, n: int | None = None, max_size: int | None = None, is_ready: bool = False) -> DataFrame:
+    """(items, count) by growing patterns over conditional bases, those of all patterns of a size as one relation.
+
+    A row (pattern, prefix, w) says that w transactions have the pattern's items after those of the prefix, in the order
+    of frequencies; equal rows are one, as paths in a conditional tree are. Items of prefixes are counted by pattern, and
+    those that are frequent extend it, with what stands before them as prefix. So a transaction that occurs a million times
+    costs as much as one, and no task holds a tree. n: what support is a share of, if not the rows of tx.
+    """
+    tx = tx if is_ready else ready(tx)
+    rows = tx.count()
+    k = max(1, least_count(rows if n is None else n, min_support_))
+    singles = counting.item_counts(tx).where(F.col("count") >= k)
+    # a row for each frequent item
+    singles = written(singles.select("item", "count", F.row_number().over(Window.orderBy(F.col("count").desc(), "item")).alias("rank")))
+    out = singles.select(F.array("item").alias("items"), "count")
+    before = lambda df, *more: df.select(*more, "w", F.posexplode("prefix").alias("at", "x"), "prefix")
+    shorter = F.slice("prefix", F.lit(1), F.col("at"))
+    state = before(weighted(tx, singles)).where("at > 0").select(F.array("x").alias("pattern"), shorter.alias("prefix"), "w")
+    size = 2
+    while max_size is None or size <= max_size:
+        state = written(state.groupBy("pattern", "prefix").agg(F.sum("w").alias("w")))
+        longer = state.select("pattern", F.explode("prefix").alias("x"), "w").groupBy("pattern", "x").agg(F.sum("w").alias("count")).where(F.col("count") >= k)
+        # small against the transactions: kept in memory, made again if an executor is lost
+        longer = longer.persist()
+        if not longer.head(1):
+            return out
+        out = out.unionByName(longer.select(F.sort_array(F.concat(F.array("x"), "pattern")).alias("items"), "count"))
+        state = before(state, "pattern").where("at > 0").join(longer.select("pattern", "x"), ["pattern", "x"], "left_semi")
+        state = state.select(F.concat(F.array("x"), "pattern").alias("pattern"), shorter.alias("prefix"), "w")
+        size += 1
+    return out
+
+
 def frequent_itemsets(tx: DataFrame, min_support_: float, engine: str = "fpgrowth", max_size: int | None = None, n: int | None = None) -> DataFrame:
-    """(items, size, count, support) with support >= min_support_. n: what support is a share of, if not the rows of tx."""
-    if engine not in ("fpgrowth", "apriori"):
-        raise ValueError("engine is fpgrowth or apriori")
+    """(items, size, count, support) with support >= min_support_. n: what support is a share of, if not the rows of tx.
+
+    engine: fpgrowth, apriori, or mllib for pyspark.ml's model.
+    """
+    if engine not in ("fpgrowth", "apriori", "mllib"):
+        raise ValueError("engine is fpgrowth, apriori or mllib")
     tx = ready(tx, *(["tid"] if engine == "apriori" else []))
     n = tx.count() if n is None else n
     if engine == "fpgrowth":
-        sets = fpgrowth(tx, min_support_, n, is_ready=True)
+        sets = fpgrowth(tx, min_support_, n, max_size, is_ready=True)
+    elif engine == "mllib":
+        sets = mllib(tx, min_support_, n, is_ready=True)
         sets = sets if max_size is None else sets.where(F.size("items") <= max_size)
     else:
         sets = apriori(tx, min_count(max(1, least_count(n, min_support_))), max_size, is_ready=True)

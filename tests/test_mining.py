@@ -44,7 +44,7 @@ def as_dict(sets):
     return {tuple(r["items"]): r["count"] for r in sets.collect()}
 
 
-@pytest.mark.parametrize("engine", ["fpgrowth", "apriori"])
+@pytest.mark.parametrize("engine", ["fpgrowth", "apriori", "mllib"])
 @pytest.mark.parametrize(("lines", "support", "n_sets", "n_rules"), [(FP_TEST, 0.2, 13, 6), (SMALL, 0.5, 9, 5), (["a", "b"], 0.2, 2, 0), (["a,b", "a,b,c"], 0.2, 7, 0)])
 def test_fixtures(spark, engine, lines, support, n_sets, n_rules):
     tx = T.parse_lines(spark, lines)
@@ -57,13 +57,15 @@ def test_fixtures(spark, engine, lines, support, n_sets, n_rules):
     assert {(tuple(r["antecedent"]), tuple(r["consequent"])): r["count"] for r in rules} == want and len(want) == n_rules
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=6), min_size=1, max_size=12), st.sampled_from([0.2, 0.5, 1.0]))
 def test_engines_agree(spark, rows, support):
     tx = T.make_transactions(spark, [list(dict.fromkeys(r)) for r in rows])
     want = brute(rows, support)
     assert as_dict(mining.frequent_itemsets(tx, support, "fpgrowth")) == want
     assert as_dict(mining.frequent_itemsets(tx, support, "apriori")) == want
+    assert as_dict(mining.frequent_itemsets(tx, support, "mllib")) == want
+    assert as_dict(mining.frequent_itemsets(tx, support, max_size=2)) == {s: n for s, n in want.items() if len(s) <= 2}
     least = mining.least_count(len(rows), support)
     assert {tuple(s): n for s, n in blocks.mine_block(rows, least)} == want
 
