@@ -81,19 +81,18 @@ def count_by_bitmaps(lists: DataFrame) -> DataFrame:
 def sliding_counts(tx: DataFrame, window: int, at: int) -> DataFrame:
     """(tid, item, count) over the last `window` transactions, at every `at`-th transaction (tid + 1 a multiple of it).
 
-    Partial sums of `step` transactions, step dividing both, are added up by the windows that hold them: no window
-    function over all transactions in one task.
+    Windows end at multiples of `at` and begin at one offset between two, so each stretch of `at` transactions has two
+    parts, before the offset and from it on. Sums of parts are added up by the windows that hold them: no window function
+    over all transactions in one task, and copies of two sums for a stretch, not of its transactions.
     """
-    import math
-
-    step = math.gcd(window, at)
-    parts = exploded(tx).groupBy("item", F.floor(F.col("tid") / step).alias("part")).agg(F.count("*").alias("n"))
-    # the ends whose windows hold a part: part * step <= end - 1 and end <= part * step + window
-    first = F.ceil((F.col("part") + 1) * step / at)
-    last = F.floor((F.col("part") * step + window) / at)
+    offset = -window % at
+    part, late = F.floor(F.col("tid") / at), F.pmod("tid", F.lit(at)) >= offset
+    parts = exploded(tx).groupBy("item", part.alias("part"), late.alias("late")).agg(F.count("*").alias("n"))
+    first, last = F.col("part") + 1, F.col("part") + F.when(F.col("late"), (offset + window) // at).otherwise(window // at)
     ends = parts.where(first <= last).select("item", "n", F.explode(F.sequence(first, last)).alias("e"))
-    top = tx.agg(F.max("tid").alias("m"))
-    return ends.groupBy((F.col("e") * at - 1).alias("tid"), "item").agg(F.sum("n").alias("count")).join(F.broadcast(top), F.col("tid") <= F.col("m")).drop("m")
+    top = tx.agg(F.max("tid")).first()[0]
+    ends = ends.where(F.col("e") * at - 1 <= F.lit(-1 if top is None else top))
+    return ends.groupBy((F.col("e") * at - 1).alias("tid"), "item").agg(F.sum("n").alias("count"))
 
 
 def length_histogram(tx: DataFrame) -> DataFrame:

@@ -204,6 +204,15 @@ def test_sliding(spark):
     tx = T.make_transactions(spark, [["a"], ["a", "b"], ["b"], ["a"], ["c"], ["a"]])
     got = {(r["tid"], r["item"]): r["count"] for r in counting.sliding_counts(tx, 4, 2).collect()}
     assert got == {(1, "a"): 2, (1, "b"): 1, (3, "a"): 3, (3, "b"): 2, (5, "a"): 2, (5, "b"): 1, (5, "c"): 1}
+    rows = [["a", "b"] if i % 3 else ["b", "c"] for i in range(40)]
+    tx = T.make_transactions(spark, rows)
+    for window, at in ((7, 3), (2, 5), (5, 5)):
+        want = {}
+        for end in range(at - 1, 40, at):
+            for i in range(max(0, end + 1 - window), end + 1):
+                for x in rows[i]:
+                    want[end, x] = want.get((end, x), 0) + 1
+        assert {(r["tid"], r["item"]): r["count"] for r in counting.sliding_counts(tx, window, at).collect()} == want
 
 
 def test_block_rules_of_all_sizes(spark):
