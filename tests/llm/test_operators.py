@@ -193,7 +193,6 @@ def test_mixing(spark, docs, none):
         ((3, 1, 2), 1.5, [4500, 1500, 3000, 4500], "own"),
         ((3, 1, 2), 1.5, [1500] * 6, "one"),
         ((1, 1, 1), 1.0, [900, 900], "null"),
-        ((3, 1, 2), 2.0, [600, 300, 0, 900], "own"),
     ],
 )
 def test_mixing_of_ties_and_equal_rows(spark, weights, share, totals, ids):
