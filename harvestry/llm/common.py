@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import gc
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 WORD = r"[^ \x09-\x0D]+"
 MASK = (1 << 64) - 1
 _OWN: list[str] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/harvestry-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def leaving_no_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed within go when it is done: a table that was written needs them no more."""
+    had = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if had is None else spark.conf.set(_CLEAN, had)
+
+
 def written(df: DataFrame, at: str | None = None) -> DataFrame:
     """df from a Parquet table in the shared folder: lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = at or shared_dir(spark)
-    df.write.parquet(path)
+    with leaving_no_shuffles(spark):
+        df.write.parquet(path)
     atexit.register(forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
@@ -53,9 +67,9 @@ def written(df: DataFrame, at: str | None = None) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, F.Column]:
-    """df, and a column that names each of its rows the same at each reading: a file's rows by file and place; other
-    tables are written first."""
-    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    """df, and a column that names each of its rows the same at each reading: a file's rows by a hash of its path and their
+    places; other tables are written first."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
         df.select(place)
         return df, place

@@ -458,14 +458,14 @@ def near_duplicates(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_
     """(key): of rows that are linked by an exact Jaccard similarity of their sets of shingles, the first by id and key, and
     the first without an id, which goes only for another without.
 
-    key_col has a long for each row, the same at each reading. Candidates are texts whose fingerprints are within the
+    key_col names each row, the same at each reading. Candidates are texts whose fingerprints are within the
     expectation for the similarity and 3.5 standard deviations; short texts have a wider radius. Shingles are equal if
     their 64-bit hashes are.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     wide = lambda p: round(bits * p + 3.5 * math.sqrt(bits * p * (1 - p)))
     rows = docs.select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = C.written(rows.mapInArrow(_marks(shingle, bits), "key long, id long, node binary, n long, fp binary"))
+    marked = C.written(rows.mapInArrow(_marks(shingle, bits), f"key {rows.schema['key'].dataType.simpleString()}, id long, node binary, n long, fp binary"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key")
     firsts = C.written(marked.groupBy("node").agg(F.min(place).alias("place"), F.min(F.when(F.col("id").isNull(), place)).alias("unnamed"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     fps = C.written(firsts.groupBy("fp").agg(F.min("n").alias("n")))
