@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestry.llm import common as C
@@ -31,10 +31,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _aside(docs: DataFrame) -> DataFrame:
+def _aside(docs: DataFrame, *own: Column) -> DataFrame:
     """Columns besides those of documents in one, so that operators' own columns can't meet their names."""
     more = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in COLUMNS]
-    return docs.select(*COLUMNS, F.struct(*more, F.lit(0).alias("_")).alias("__more")) if more else docs
+    return docs.select(*COLUMNS, *([F.struct(*more).alias("__more")] if more else []), *own)
 
 
 def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -49,7 +49,8 @@ def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: by row, whatever ids they have or share; texts without words are alike."""
-    rows = C.written(_aside(docs).withColumn("__row", F.monotonically_increasing_id()))  # written, a row keeps its number
+    docs, place = C.numbered(docs)
+    rows = _aside(docs, place.alias("__row"))
     kept = C.written(simhash.near_duplicates(rows, "__row").select(F.col("key").alias("__kept")))
     return _back(rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi"), docs)
 
