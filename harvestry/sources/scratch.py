@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @functools.cache
 def _own() -> str:
     return tempfile.mkdtemp(prefix="harvestry-")
@@ -27,10 +30,15 @@ def shared_path(spark) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df from a Parquet table of its own, which goes when the program ends."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    atexit.register(forget, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, had = shared_path(spark), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # shuffle files go when the table is there
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if had is None else spark.conf.set(_CLEAN, had)
+    atexit.register(forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark, path: str) -> None:
