@@ -462,6 +462,18 @@ def spo_resorts(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(modes.resort_points(T.stream(spark, d), 500, 0.02), "tid long, entropy double")
 
 
+@query("""WITH e AS (SELECT tid, unnest(['flag=' || l_returnflag, 'status=' || l_linestatus, 'year=' || year(l_shipdate)]) AS item FROM (SELECT row_number() OVER () AS tid, * FROM lineitem)),
+n AS (SELECT count(*) AS n FROM lineitem), c AS (SELECT item, count(*) AS c FROM e GROUP BY item),
+p AS (SELECT x.item AS a, y.item AS b, count(*) AS count FROM e x JOIN e y ON x.tid = y.tid AND x.item < y.item GROUP BY 1, 2),
+q AS (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS count FROM e x JOIN e y ON x.tid = y.tid AND x.item < y.item JOIN e z ON x.tid = z.tid AND y.item < z.item GROUP BY 1, 2, 3),
+asked AS (SELECT a || ' ' || b AS items, 2 AS size, p.count, x.c AS x, y.c AS y, n FROM p JOIN c x ON x.item = a JOIN c y ON y.item = b, n UNION ALL
+SELECT q.a || ' ' || q.b || ' ' || q.c, 3, q.count, least(x.c, y.c, z.c), CASE WHEN x.c <= y.c AND x.c <= z.c THEN yz.count WHEN y.c <= z.c THEN xz.count ELSE xy.count END, n FROM q JOIN c x ON x.item = q.a JOIN c y ON y.item = q.b JOIN c z ON z.item = q.c JOIN p xy ON xy.a = q.a AND xy.b = q.b JOIN p xz ON xz.a = q.a AND xz.b = q.c JOIN p yz ON yz.a = q.b AND yz.b = q.c, n),
+t AS (SELECT *, unnest(range(greatest(0, x + y - n), least(x, y) + 1)) AS k FROM asked),
+u AS (SELECT *, sum(exp(lgamma(y + 1) + lgamma(n - y + 1) + lgamma(x + 1) + lgamma(n - x + 1) - lgamma(k + 1) - lgamma(y - k + 1) - lgamma(x - k + 1) - lgamma(n - x - y + k + 1) - lgamma(n + 1))) OVER (PARTITION BY items ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM t),
+m AS (SELECT items, size, count, coalesce(min(k) FILTER (s > 0.999), least(any_value(x), any_value(y))) AS bound FROM u GROUP BY items, size, count),
+good AS (SELECT items, size, count FROM m WHERE count > bound)
+SELECT item AS items, 1 AS size, c::BIGINT AS count FROM c UNION ALL SELECT items, size, count::BIGINT FROM good WHERE size = 2 UNION ALL
+SELECT items, size, count::BIGINT FROM good g WHERE size = 3 AND (SELECT count(*) FROM good h WHERE h.size = 2 AND list_has_all(string_split(g.items, ' '), string_split(h.items, ' '))) = 3""")
 def minabssup_mode(spark: SparkSession, d: str) -> DataFrame:
     """Sets that occur more often than by chance: attributes of line items, numbered by their order, part and line."""
     lines = T.table(spark, d, "lineitem")
@@ -672,5 +684,5 @@ def itemset_files(spark: SparkSession, d: str) -> DataFrame:
     return sinks.read_itemsets(spark, path).select(F.array_join("items", " ").alias("items"), F.round("support", 6).alias("support"))
 
 
-for f in (min_count_filter_all, frequent_all_apriori_all, rules_all_splits_all, block_itemsets_all, block_rules_all, ssdd_drift, dbdd_drift, ddtree_drift, ssdd_checkpoints, spo_resorts, minabssup_mode):
+for f in (min_count_filter_all, frequent_all_apriori_all, rules_all_splits_all, block_itemsets_all, block_rules_all, ssdd_drift, dbdd_drift, ddtree_drift, ssdd_checkpoints, spo_resorts):
     QUERIES[f.__name__] = f
