@@ -45,7 +45,7 @@ LENGTH = 1024
 #: Tokens of the joint queue in which small sources take turns once.
 TURN = 1 << 20
 #: Words whose ids a task remembers.
-CACHE = 200_000
+CACHE = 400_000
 
 
 class Ids:
