@@ -29,6 +29,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -44,6 +45,8 @@ from harvestry.llm import common as C
 SEED = 42
 #: Fingerprints that one task compares with each other.
 MOST = 16_384
+#: Bytes of rows for each fingerprint, and in all, that tables searched together have.
+HELD, HELD_AT_LEAST = 2_304, 64_000_000
 _UP, _LOW = bytes(range(65, 91)), bytes(range(97, 123))
 _LOWER = bytes.maketrans(_UP, _LOW)
 _ONES = np.uint64(C.MASK)
@@ -299,23 +302,43 @@ def _compare(radius: int, words: int):
     return C.lean(run)
 
 
-def links(fps: DataFrame, bits: int, radius: int, distinct: int, miss: float, most: int = MOST) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (fp) that span those within the radius."""
-    words, tables = bits // 64, choose(distinct, bits, radius, miss)
-    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct * len(tables) * (bits // 8 + 16) / 16e6))
-    keyed = fps.mapInArrow(_keys(tables, words), "key long, fp binary")
-    # buckets with more than `most`: how many parts; few rows, for a bucket has `most` of the fingerprints or more
-    large = C.written(keyed.groupBy("key").count().where(F.col("count") > most).select(F.col("key").alias("k"), F.ceil(F.col("count") / most).cast("int").alias("parts")))
-    keyed = keyed.join(large, F.col("key") == F.col("k"), "left").drop("k")
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    with_part = keyed.withColumn("part", part)
-    pairs = F.transform(
+def _dealt(pair_of: str) -> F.Column:
+    """For a row of a part of so many: the pairs of parts that it goes to, and on which side."""
+    return F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct((F.least("part", o) * F.col("parts") + F.greatest("part", o)).alias("pair"), F.when(F.col("part") == o, 2).when(F.col("part") < o, 0).otherwise(1).alias("side")),
+        lambda o: F.struct((F.least("part", o) * F.col("parts") + F.greatest("part", o)).cast(pair_of).alias("pair"), F.when(F.col("part") == o, 2).when(F.col("part") < o, 0).otherwise(1).alias("side")),
     )
-    dealt = with_part.withColumn("to", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("pair"), F.lit(2).alias("side")))).otherwise(pairs)))
-    dealt = dealt.select("key", F.col("to.pair").cast("int").alias("pair"), F.col("to.side").cast("int").alias("side"), "fp")
-    return dealt.repartition(n, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_compare(radius, words), "a binary, b binary")
+
+
+def links(fps: DataFrame, bits: int, radius: int, distinct: int, miss: float, most: int = MOST, held: int = HELD, least: int = HELD_AT_LEAST) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (fp) that span those within the radius.
+
+    More fingerprints need more tables, and large buckets send a row to several pairs of parts. So tables are searched
+    some at a time, as many as have `held` bytes for each fingerprint (or `least` in all), a part of the buckets at a time
+    if those have more: shuffle files of one round go before the next, and what they take of disk follows the input.
+    """
+    spark, words, row = fps.sparkSession, bits // 64, bits // 8 + 16
+    tables, room = choose(distinct, bits, radius, miss), max(least, held * distinct)
+    some, found = max(1, room // (row * max(1, distinct))), []
+    for at in range(0, len(tables), some):
+        now = tables[at : at + some]
+        keyed = fps.mapInArrow(_keys(now, words), "key long, fp binary")
+        # buckets with more than `most`: how many parts; few rows, for a bucket has `most` of the fingerprints or more
+        large = C.written(keyed.groupBy("key").count().where(F.col("count") > most).select(F.col("key").alias("k"), "count", F.ceil(F.col("count") / most).cast("int").alias("parts")))
+        size = row * (distinct * len(now) + (large.agg(F.sum(F.col("count") * (F.col("parts") - 1))).first()[0] or 0))
+        rounds = math.ceil(size / (2 * room))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / max(1, rounds) / 16e6))
+        keyed = keyed.join(large.drop("count"), F.col("key") == F.col("k"), "left").drop("k")
+        keyed = keyed.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        whole = F.array(F.struct(F.lit(0).alias("pair"), F.lit(2).alias("side")))
+        for r in range(rounds):
+            to = F.when(F.col("parts").isNull(), whole).otherwise(_dealt("int"))
+            if rounds > 1:
+                to = F.filter(to, lambda t: F.pmod(F.xxhash64("key", t["pair"]), F.lit(rounds)) == r)  # noqa: B023
+            dealt = keyed.withColumn("to", F.explode(to)).select("key", F.col("to.pair").alias("pair"), F.col("to.side").cast("int").alias("side"), "fp")
+            found.append(C.written(dealt.repartition(n, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_compare(radius, words), "a binary, b binary")))
+        C.forget(spark, large.written_at)
+    return functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a binary, b binary")
 
 
 def components(edges: DataFrame, least: str = "a", other: str = "b") -> DataFrame:
@@ -358,7 +381,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, bits: int = 1024, radius:
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     marked = C.written(docs.mapInArrow(_fingerprints(shingle, bits, repeats), "id long, fp binary"))
     firsts = C.written(marked.groupBy("fp").agg(F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("first")))
-    edges = C.written(links(firsts.select("fp"), bits, radius, firsts.count(), miss))
+    edges = links(firsts.select("fp"), bits, radius, firsts.count(), miss)
     roots = components(edges)
     # the smallest id of a component, by root; then by fingerprint
     named = C.written(roots.join(firsts, F.col("node") == F.col("fp")).select("node", "root", "first"))
@@ -472,21 +495,28 @@ def near_duplicates(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_
     edges = links(fps.select("fp"), bits, wide(p), fps.count(), miss)
     short = C.written(fps.where(F.col("n") <= SHORT).select("fp"))
     if (few := short.count()) > 1:
-        edges = C.written(edges).unionByName(links(short, bits, wide(max(p, SHORT_SHARE)), few, miss))
+        edges = edges.unionByName(links(short, bits, wide(max(p, SHORT_SHARE)), few, miss))
     roots = components(edges)
     # the members of each component of candidates, with their texts; large components in pairs of parts
     held = C.written(firsts.join(roots.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("node", "n", F.col("place.key").alias("k"), F.coalesce("root", "fp").alias("comp")))
     several = held.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).where("sets > 1")
     several = C.written(several.select(F.col("comp").alias("c"), F.ceil(F.greatest(F.col("sets") / SETS, F.col("all") / SHINGLES, F.lit(1))).cast("int").alias("parts")))
-    held = C.written(held.join(several, F.col("comp") == F.col("c")).select("k", "node", "comp", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct((F.least("part", o) * F.col("parts") + F.greatest("part", o)).alias("pair"), F.when(F.col("part") == o, 2).when(F.col("part") < o, 0).otherwise(1).alias("side")),
-    )
-    dealt = rows.select("key", "text").join(held, F.col("key") == F.col("k")).withColumn("to", F.explode(pairs))
-    dealt = dealt.select("comp", F.col("to.pair").cast("long").alias("pair"), F.col("to.side").cast("int").alias("side"), "node", "text")
-    n = C.parts(docs)
-    true = dealt.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInArrow(_verify(shingle, similarity), "a binary, b binary")
+    held = C.written(held.join(several, F.col("comp") == F.col("c")).select("k", "node", "n", "comp", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
+    # texts that go to many pairs of parts do so in rounds, each of which sends about as much as all texts have
+    sent, all_ = held.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0, firsts.agg(F.sum("n")).first()[0] or 0
+    rounds = max(1, math.ceil(sent / max(1, all_)))
+    asked = rows.select("key", "text").join(held.drop("n"), F.col("key") == F.col("k"))
+    asked, n, true = C.written(asked) if rounds > 1 else asked, C.parts(docs), []
+    for r in range(rounds):
+        to = _dealt("long")
+        if rounds > 1:
+            to = F.filter(to, lambda t: F.pmod(F.xxhash64("comp", t["pair"]), F.lit(rounds)) == r)  # noqa: B023
+        dealt = asked.withColumn("to", F.explode(to)).select("comp", F.col("to.pair").alias("pair"), F.col("to.side").cast("int").alias("side"), "node", "text")
+        dealt = dealt.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair")
+        true.append(C.written(dealt.mapInArrow(_verify(shingle, similarity), "a binary, b binary")))
+    if rounds > 1:
+        C.forget(docs.sparkSession, asked.written_at)
+    true = functools.reduce(DataFrame.unionByName, true)
     roots = C.written(components(true).withColumnRenamed("node", "f"))
     named = C.written(firsts.select("node", "place", "unnamed").join(roots, F.col("node") == F.col("f"), "left").select(F.coalesce("root", "node").alias("root"), "place", "unnamed"))
     stay = named.groupBy("root").agg(F.min("place").alias("place"), F.min("unnamed").alias("unnamed"))

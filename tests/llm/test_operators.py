@@ -402,6 +402,24 @@ def test_large_buckets_are_dealt_out(spark):
     assert len({b for _, b in got}) == 1 and len(got) == len(f)
 
 
+def test_tables_are_searched_some_at_a_time(spark, monkeypatch):
+    """What is shuffled at once follows the number of fingerprints, not the number of tables that so many of them need."""
+    r = np.random.default_rng(4)
+    f = r.integers(0, 1 << 63, (40, 16)).astype(np.uint64)
+    f = np.concatenate((f, f ^ (np.uint64(1) << r.integers(0, 64, f.shape).astype(np.uint64))))
+    df = spark.createDataFrame([(x.astype(">u8").tobytes(),) for x in f], "fp binary")
+    distinct, radius, at_once, plain = 300_000, 195, [], simhash._keys
+    monkeypatch.setattr(simhash, "_keys", lambda tables, words: at_once.append(len(tables)) or plain(tables, words))
+    got = {tuple(r) for r in simhash.components(simhash.links(df, 1024, radius, distinct, 0.01)).collect()}
+    assert sum(at_once) == len(simhash.choose(distinct, 1024, radius, 0.01)) > 40 and max(at_once) <= 16
+    assert len(got) == 80 and len({b for _, b in got}) == 40
+    # buckets in parts, in rounds
+    f = np.unique(np.uint64(7) ^ (np.uint64(1) << r.integers(0, 64, 60).astype(np.uint64)))
+    df = spark.createDataFrame([(x.astype(">u8").tobytes(),) for x in f], "fp binary")
+    got = {tuple(r) for r in simhash.components(simhash.links(df, 64, 4, len(f), 0.01, most=5, held=72, least=0)).collect()}
+    assert len({b for _, b in got}) == 1 and len(got) == len(f)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 103), (200, 100)] + [(500, i) for i in range(501, 540)]
     got = dict(tuple(r) for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect())

@@ -169,3 +169,16 @@ def test_near_dedup_by_row(spark):
     docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((str(r["doc_id"]), r["text"][0]) for r in P.near_dedup(spark, docs, "").collect())
     assert got == [("1", "a"), ("2", "b"), ("None", "c")]
+
+
+def test_near_dedup_in_rounds(spark, monkeypatch):
+    """A component in many pairs of parts sends its texts in rounds, and keeps the same rows."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[: 250 + i // 2], *(f"e{i}x{j}" for j in range(50 - i // 2))])) for i in range(60)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(r["doc_id"] for r in P.near_dedup(spark, docs, "").select("doc_id").collect())
+    calls, plain = [], P.simhash._verify
+    monkeypatch.setattr(P.simhash, "SETS", 8)
+    monkeypatch.setattr(P.simhash, "_verify", lambda *a: calls.append(a) or plain(*a))
+    assert sorted(r["doc_id"] for r in P.near_dedup(spark, docs, "").select("doc_id").collect()) == want
+    assert len(calls) > 1 and 1 < len(want) < 60
