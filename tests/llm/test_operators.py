@@ -648,6 +648,64 @@ def test_model_beats_interpolated_bytes(spark, sf):
     assert hpylm.perplexity(scored) == pytest.approx(10 ** (-got[0] / got[1]))
 
 
+def test_contexts_are_of_words(spark):
+    """What follows depends on the two words before, which end alike: bytes before the last word don't tell."""
+    r = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}commonending" for a in "bcdfg" for b in "aeiou"]
+    after = {(i, j): r.permutation(25) for i in range(25) for j in range(25)}
+
+    def text():
+        w = [int(x) for x in r.integers(25, size=2)]
+        while len(w) < 60:
+            w.append(int(after[w[-2], w[-1]][0 if r.random() < 0.8 else r.integers(25)]))
+        return [vocabulary[i] for i in w]
+
+    held = [i for i in range(3000) if hpylm.held_out(i)][:20]
+    rows = [(i, " ".join(text())) for i in range(400) if not hpylm.held_out(i)]
+    asked = {i: text() for i in held[:10]}
+    rows += [(i, " ".join(w)) for i, w in asked.items()] + [(j, " ".join(r.permutation(asked[i]))) for i, j in zip(held[:10], held[10:], strict=True)]
+    rows.append((held[0] + 100_000, "x" * 5000))  # a word beyond the least number above zero
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {row["doc_id"]: row["score"] for row in hpylm.score_texts(docs).collect()}
+    assert len(got) == len(rows) and all(math.isfinite(x) and x < 0 for x in got.values())
+    assert all(got[i] > got[j] + 10 for i, j in zip(held[:10], held[10:], strict=True))
+    one = {row["doc_id"]: row["score"] for row in hpylm.score_texts(docs, words=2).collect()}
+    assert sum(got[i] for i in held[:10]) > sum(one[i] for i in held[:10]) + 100
+    # frequent words in parts: 400 occurrences each
+    parted = {row["doc_id"]: row["score"] for row in hpylm.score_texts(docs, split=200).collect()}
+    assert parted.keys() == got.keys() and abs(sum(parted[i] - got[i] for i in held[:10])) < 0.1 * 61 * 10
+
+
+def test_restaurants_of_words():
+    """Averaged predictive probabilities against the sum over all seatings; those of all dishes sum to one at every level."""
+    d, theta, base = 0.6, hpylm.THETA, np.array([0.2, 0.3, 0.1, 0.4])
+    counts = np.array([3, 1, 2, 0])
+    want, total = np.zeros(4), 0.0
+    for t, w in arrangements(counts, lambda c: c, theta, d):
+        w *= math.prod(base ** np.array(t))
+        want += w * (counts - d * np.array(t) + (theta + d * sum(t)) * base) / (theta + counts.sum())
+        total += w
+    tree = hpylm.Words([np.full(4, 7), np.array([10, 11, 12, 13])], counts, 4)
+    tree.levels[0].discount = d
+    got = np.zeros(4)
+    for i in range(4100):
+        tree.seat(np.log(base))
+        got += np.exp(tree.logs(np.log(base))) * (i >= 100)
+    assert np.abs(got / 4000 - want / total).max() < 0.01 and got.sum() / 4000 == pytest.approx(1)
+    r = np.random.default_rng(2)
+    before = r.integers(4, size=(2, 600))
+    seen = np.concatenate((before, r.integers(8, size=(1, 600)) // 2), axis=0)
+    every = np.array([(i, j, k) for i in range(4) for j in range(4) for k in range(4)]).T
+    tree = hpylm.Words(list(np.concatenate((seen, every), axis=1)), np.concatenate((np.ones(600, int), np.zeros(64, int))), 1)
+    for _ in range(4):
+        tree.seat(np.log(base))
+        for level in tree.levels:
+            assert (level.tables >= (level.customers > 0)).all() and (level.tables <= level.customers).all()
+        assert (tree.levels[1].customers == np.bincount(tree.to[0], tree.levels[0].tables)).all()
+    p = np.exp(tree.logs(np.log(base)))[tree.row[600:]].reshape(16, 4)
+    assert p.sum(axis=1) == pytest.approx(1)
+
+
 def test_language(spark, none):
     langs = {"en": "the of and that with have this from they", "de": "der die und nicht von das mit sich auch", "fr": "les des une est pas que dans pour qui"}
     r = np.random.default_rng(1)
