@@ -706,6 +706,97 @@ def test_restaurants_of_words():
     assert p.sum(axis=1) == pytest.approx(1)
 
 
+def test_dishes_seated_at_once():
+    """Averaged predictive probabilities against the sum over all seatings, without a table's size being kept; in a child
+    restaurant whose tables come to and leave the parent, too."""
+    d, theta, base = 0.5, hpylm.THETA, 1 / 256
+    below, n = [4, 1, 2], np.array([4, 1, 2])
+    codes = np.array([ord("x") << 8 | dish for dish in b"abc"], np.uint64)
+    want, total = np.zeros(3), 0.0
+    for t, w in arrangements(below, lambda c: c, theta, d):
+        for s, v in arrangements(list(t), lambda c: c, theta, d):
+            above = np.array([(t[i] - d * s[i] + (theta + d * sum(s)) * base) / (theta + sum(t)) for i in range(3)])
+            weight = w * v * base ** sum(s)
+            want += weight * (n - d * np.array(t) + (theta + d * sum(t)) * above) / (theta + 7)
+            total += weight
+    tree = hpylm.Subtree(codes, n, 2, 0, 3, 8)
+    for level in tree.levels:
+        level.discount = d
+    got = np.zeros(3)
+    for i in range(4100):
+        tree.sweep(lambda c: np.full(len(c), base))
+        got += tree.predict(codes, np.full(3, base)) * (i >= 100)
+    assert not len(tree.levels[0].order) and np.abs(got / 4000 / (want / total) - 1).max() < 0.05
+    # numbers of tables of a lone dish, against generalised Stirling numbers, however many restaurants there are
+    for c in (2, 3, 7, 20, 60):
+        level = hpylm.Level(np.arange(20_000, dtype=np.uint64) << np.uint64(8), np.random.default_rng(c), True, 8, np.full(20_000, c), 64)
+        level.customers[:], level.discount = c, d
+        level.tables[:] = 1
+        level.settle()
+        p = np.full(20_000, 0.3)
+        level.first_seating(p)
+        level.sweep(p)
+        weights = np.array([(t[0], w * 0.3 ** t[0]) for t, w in arrangements([c], lambda c: c, theta, d)])
+        assert (level.tables <= c).all() and (level.tables >= 1).all() and (level.t_u == level.tables).all()
+        assert level.tables.mean() == pytest.approx((weights[:, 0] * weights[:, 1]).sum() / weights[:, 1].sum(), rel=0.03)
+
+
+def test_customers_leave_at_once():
+    draw = np.random.default_rng(1)
+    level = hpylm.Level(np.arange(3000, dtype=np.uint64) << np.uint64(8), draw)
+    level.customers[:] = 20
+    level.settle()
+    level.first_seating(np.full(3000, 0.3))
+    stay = draw.integers(1, 21, 3000)
+    level.meet(stay, np.full(3000, 0.3))
+    size = [level.seats.size[a:b] for a, b in zip(level.seats.start[:-1], level.seats.start[1:], strict=True)]
+    assert (level.customers == stay).all() and (level.c_u == stay).all() and [x.sum() for x in size] == stay.tolist()
+    assert (level.tables == [(x > 0).sum() for x in size]).all() and (level.t_u == level.tables).all()
+
+
+def test_runs_are_planted_once():
+    """What later rounds read instead of the batches' runs says the same; so do the short cuts over symbols."""
+    r = np.random.default_rng(3)
+    columns, counts = [r.integers(k, size=500) * 7 for k in (9, 30, 60)], r.integers(3, size=500)
+    plan, dishes, row = hpylm.Plan.of(columns, counts)
+    again = hpylm.Plan.unpacked(plan.packed())
+    for a, b in ((plan.contexts, again.contexts), (plan.dishes, again.dishes), (plan.up, again.up), ([plan.counts], [again.counts])):
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
+    seen = Counter()
+    for *run, n in zip(*columns, counts, strict=True):
+        seen[tuple(run)] += n
+    assert len(plan.counts) == len(seen) and all(plan.counts[i] == seen[run] and dishes[plan.dishes[0][i]] == run[2] for i, *run in ((i, *map(int, x)) for i, *x in zip(row, *columns, strict=True)) for run in [tuple(run)])
+    words = [bytes(r.integers(97, 100, n).astype(np.uint8)) for n in (*r.integers(1, 12, 400), 70_000, 0)]
+    data, weights = b"".join(w + b"\n" for w in words), r.integers(100_000, size=len(words))
+    codes = hpylm.runs(np.frombuffer(data, np.uint8), 6)
+    of = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+    distinct, n = hpylm._spelled_runs(data, 6, weights)
+    values, inverse = np.unique(codes, return_inverse=True)
+    assert (distinct == values).all() and (n == np.bincount(inverse, weights[of])).all()
+    log = r.random(len(distinct))
+    assert hpylm._spelled_logs(data, 6, distinct, log) == pytest.approx(np.bincount(of, log[inverse]))
+    h, is_end, starts, stops = hpylm._token_hashes(data.replace(b"\n", b" ") + b"\n" + b"aab  aab\n\n")
+    assert is_end.sum() == 3 and is_end[-1] and len(h) == len(words) - 1 + 5
+    assert len(set(h[~is_end].tolist())) == len({*words, b"aab"} - {b""}) and len(set(h[is_end].tolist())) == 1
+
+
+def test_runs_of_a_batch():
+    """Runs end at the bounds of texts, however short these are, also where three numbers of words don't fit 64 bits."""
+    sizes, token = np.array([1, 3, 2, 1, 4]), np.array([4, 0, 1, 4, 2, 4, 4, 0, 1, 3, 4])
+    number, counts = np.array([70, 20, 30, 90, 10]), np.array([5, 5, 5, 5, 5])
+    want, lo = [], 0
+    for size in sizes:
+        t = [4, 4, *token[lo : lo + size]]
+        want += [tuple(int(number[t[i - k]]) for k in (1, 2, 0)) for i in range(2, len(t))]
+        lo += size
+    for words, pick in ((3, (0, 1, 2)), (2, (0, 2))):
+        for more in (0, (1 << 22) if words == 3 else 0):
+            columns, to, run = hpylm._runs_of(sizes, token, np.append(number, 100 + np.arange(more)), np.append(counts, np.zeros(more, int)), words, 1 << 19, 3)
+            got = list(zip(*(c.tolist() for c in columns), strict=True))
+            assert len(set(got)) == len(got) and [got[i] for i in run] == [tuple(w[k] for k in pick) for w in want]
+            assert (np.diff(to) >= 0).all()
+
+
 def test_language(spark, none):
     langs = {"en": "the of and that with have this from they", "de": "der die und nicht von das mit sich auch", "fr": "les des une est pas que dans pour qui"}
     r = np.random.default_rng(1)
